@@ -96,13 +96,13 @@ def variant_type(success_rate: Column | str) -> Column:
 
 
 def destination_label(name: Column | str) -> Column:
-    """Trimmed event name, shortened to 27 characters plus dots when over 30."""
-    text = F.trim(F.col(name) if isinstance(name, str) else name)
-    short = F.when(F.length(text) > 30, F.concat(F.substring(text, 1, 27), F.lit("..."))).otherwise(
-        text
-    )
+    """Event name without outer white space, 27 characters plus dots when over 30."""
     raw = F.col(name) if isinstance(name, str) else name
-    return F.when(raw.isNull() | (raw == ""), UNKNOWN_EVENT).otherwise(short)
+    text = F.regexp_replace(raw, r"^\s+|\s+$", "")
+    short = F.concat(F.substring(text, 1, 27), F.lit("..."))
+    return F.when(raw.isNull() | (raw == ""), UNKNOWN_EVENT).otherwise(
+        F.when(F.length(text) > 30, short).otherwise(text)
+    )
 
 
 def destination_category(name: Column | str) -> Column:

@@ -502,7 +502,7 @@ def statistics(walks: DataFrame, edges: DataFrame) -> DataFrame:
     cases = F.coalesce(F.sum("cases"), F.lit(0))
     return by_path.agg(
         cases.alias("total_cases"),
-        _percent(F.sum("hours"), cases * 100).alias("avg_duration"),
+        F.when(cases > 0, F.sum("hours") / cases).otherwise(0.0).alias("avg_duration"),
         _percent(F.sum("completed"), cases).alias("completion_rate"),
         F.count(F.lit(1)).alias("unique_paths"),
     ).select("*", names.alias("total_activities"), links.alias("total_transitions"))
