@@ -50,8 +50,10 @@ def read_csv(spark: SparkSession, path: str, schema: str | T.StructType | None =
     The default schema reads every column named in the header as text, so that no
     inference pass over the data is needed.
     """
-    reader = spark.read.option("header", True).option("mode", "DROPMALFORMED")
-    reader = reader.option("escape", '"')
+    # Without pruning, a row of the wrong width is dropped whichever columns are asked for.
+    reader = spark.read.options(
+        header=True, mode="DROPMALFORMED", escape='"', columnPruning=False
+    )
     if schema is not None:
         reader = reader.schema(schema)
     return canonical(reader.csv(path))
@@ -134,7 +136,11 @@ def write_result(df: DataFrame, path: str, fmt: str = "parquet", mode: str = "er
     if fmt not in WRITE_FORMATS:
         raise ValueError(f"unsupported output format: {fmt!r}")
     writer = df.write.mode(mode).format(fmt)
-    (writer.option("header", True) if fmt == "csv" else writer).save(path)
+    if fmt == "csv":
+        writer = writer.options(
+            header=True, escape='"', timestampNTZFormat="yyyy-MM-dd'T'HH:mm:ss.SSSSSS"
+        )
+    writer.save(path)
 
 
 def valid_users(df: DataFrame) -> DataFrame:

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-import importlib
+from workload import catalog, funnels, mining, paths, timing
 
-QUERIES: dict[str, tuple] = {}
-for _name in ("funnels", "timing", "paths", "mining", "catalog"):
-    try:
-        QUERIES |= importlib.import_module(f"workload.{_name}").QUERIES
-    except ModuleNotFoundError:
-        pass
+QUERIES: dict[str, tuple] = {
+    **funnels.QUERIES,
+    **timing.QUERIES,
+    **paths.QUERIES,
+    **mining.QUERIES,
+    **catalog.QUERIES,
+}
