@@ -100,38 +100,32 @@ def conversion_stats(
     """Count, mean, quartiles, 90th percentile and population deviation per step pair."""
     by = [*(["segment"] if cfg.segmented else []), "pair_idx", "step_from", "step_to"]
     gaps = conversion_gaps(events, steps, cfg, slices=slices)
+    # Everything below works on distinct gaps per pair, so the gaps are computed once.
+    counted = gaps.groupBy(*by, "gap_us").agg(F.count(F.lit(1)).alias("m"))
     hours = F.col("gap_us") / HOUR_US
-    moments = (
-        F.count(F.lit(1)).alias("n"),
-        F.avg(hours).alias("mean_hours"),
-        F.stddev_pop(hours).alias("std_hours"),
-    )
-    order = [*by[:-3], "step_from", "step_to", "n", "mean_hours", "median_hours", "p25_hours",
-             "p75_hours", "p90_hours", "std_hours"]
+    n = F.sum("m")
+    mean = F.sum(hours * F.col("m")) / n
+    square = F.sum(hours * hours * F.col("m")) / n
+    moments = {
+        "n": n,
+        "mean_hours": mean,
+        "std_hours": F.sqrt(F.greatest(square - mean * mean, F.lit(0.0))),
+    }
+    if cfg.first_only:
+        # Whole seconds up to the window bound the number of distinct values, and with it
+        # the percentile buffer of a pair.
+        moments["q"] = F.percentile(hours, list(PROBABILITIES), F.col("m"))
+    stats = counted.groupBy(*by).agg(*[c.alias(name) for name, c in moments.items()])
     names = ("median_hours", "p25_hours", "p75_hours", "p90_hours")
     if cfg.first_only:
-        # Whole seconds up to the window: at most window-many distinct values per pair, so
-        # counting them first bounds the percentile buffers.
-        counted = gaps.groupBy(*by, "gap_us").agg(F.count(F.lit(1)).alias("m"))
-        n = F.sum("m")
-        mean = F.sum(hours * F.col("m")) / n
-        square = F.sum(hours * hours * F.col("m")) / n
-        stats = (
-            counted.groupBy(*by)
-            .agg(
-                n.alias("n"),
-                mean.alias("mean_hours"),
-                F.sqrt(F.greatest(square - mean * mean, F.lit(0.0))).alias("std_hours"),
-                F.percentile(hours, list(PROBABILITIES), F.col("m")).alias("q"),
-            )
-            .withColumns({name: F.col("q")[i] for i, name in enumerate(names)})
-        )
-        return stats.select(*order)
-    quantiles = exact_quantiles(gaps, by, "gap_us", PROBABILITIES, cfg.window_us)
-    stats = gaps.groupBy(*by).agg(*moments).join(quantiles, by)
-    return stats.withColumns(
-        {name: F.col(f"q{i}") / HOUR_US for i, name in enumerate(names)}
-    ).select(*order)
+        quantiles = {name: F.col("q")[i] for i, name in enumerate(names)}
+    else:
+        exact = exact_quantiles(counted, by, "gap_us", "m", PROBABILITIES, cfg.window_us)
+        stats = stats.join(exact, by)
+        quantiles = {name: F.col(f"q{i}") / HOUR_US for i, name in enumerate(names)}
+    return stats.withColumns(quantiles).select(
+        *[c for c in by if c != "pair_idx"], "n", "mean_hours", *names, "std_hours"
+    )
 
 
 def speed_class(stats: DataFrame) -> DataFrame:

@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from stepwise.functions.labels import bands
+from stepwise.functions.texts import text_literal
 from stepwise.model import ALL_USERS, CountingMethod, FunnelConfig, check_steps
 from stepwise.operators.events import (
     require_order,
@@ -183,9 +184,8 @@ def _event_totals(rows: DataFrame, steps: Sequence[str], cfg: FunnelConfig) -> D
 
 def _with_requested_segments(counts: DataFrame, cfg: FunnelConfig, n: int) -> DataFrame:
     """Requested values without events are left out, unless no value matched at all."""
-    wanted = counts.sparkSession.createDataFrame(
-        [(name,) for name in segment_names(cfg)], "segment string"
-    )
+    requested = ", ".join(text_literal(name) for name in segment_names(cfg))
+    wanted = counts.sparkSession.sql(f"SELECT explode(array({requested})) AS segment")
     everything = Window.partitionBy()  # one row per requested value
     return (
         wanted.join(counts, "segment", "left")
@@ -200,24 +200,26 @@ def _rate(part: Column, whole: Column) -> Column:
 
 
 def _unfold(counts: DataFrame, steps: Sequence[str]) -> DataFrame:
+    """Counts n0..nk of a segment as rows with rates.  The generator is one SQL text: as
+    nested Column calls it would dominate the time to plan a funnel."""
+
+    def rate(part: str, whole: str) -> str:
+        return f"IF({whole} > 0, {part} / {whole} * 100, 0D)"
+
     entries = []
     for i, step in enumerate(steps):
-        now = F.col(f"n{i}")
-        before = F.col(f"n{max(i - 1, 0)}")
+        now, before = f"n{i}", f"n{max(i - 1, 0)}"
+        lost = f"({before} - {now})"
         first = i == 0
-        lost = before - now
         entries.append(
-            F.struct(
-                F.lit(i).alias("step_idx"),
-                F.lit(step).alias("step"),
-                now.cast("bigint").alias("users"),
-                (F.lit(100.0) if first else _rate(now, F.col("n0"))).alias("conversion_rate"),
-                (F.lit(0) if first else lost).cast("bigint").alias("drop_off"),
-                (F.lit(0.0) if first else _rate(lost, before)).alias("drop_off_rate"),
-                (F.lit(100.0) if first else _rate(now, before)).alias("step_rate"),
-            )
+            f"""named_struct(
+                'step_idx', {i}, 'step', {text_literal(step)}, 'users', {now},
+                'conversion_rate', {"100D" if first else rate(now, "n0")},
+                'drop_off', {"0L" if first else lost},
+                'drop_off_rate', {"0D" if first else rate(lost, before)},
+                'step_rate', {"100D" if first else rate(now, before)})"""
         )
-    return counts.select("segment", F.inline(F.array(*entries)))
+    return counts.selectExpr("segment", f"inline(array({', '.join(entries)}))")
 
 
 def funnel(

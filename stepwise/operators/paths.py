@@ -19,6 +19,7 @@ from stepwise.functions.labels import (
     first_match,
     impact_level,
 )
+from stepwise.functions.texts import text_literal
 from stepwise.functions.times import from_micros
 from stepwise.model import HOUR_US, FunnelConfig, check_steps
 from stepwise.operators.events import timed
@@ -348,39 +349,37 @@ def between_events(
     steps = check_steps(steps)
     rows = _covered(events, steps, cfg, funnel_filter, slices)
     pairs = _pairs(steps)
-    per_user = rows.groupBy("user_id", "event_name").agg(
+    # One row per user and event name; what follows windows over those few rows per user.
+    per_name = rows.groupBy("user_id", "event_name").agg(
         *[F.sum(f"m{i}").alias(f"m{i}") for i, _, _ in pairs],
         *[F.bool_or(f"converted{i}").alias(f"converted{i}") for i, _, _ in pairs],
     )
-    names = [f"{s} → {t}" for _, s, t in pairs]
-    entries = F.array(
-        *[
-            F.struct(
-                F.lit(i).alias("pair_idx"),
-                F.lit(names[i]).alias("step_pair"),
-                F.col(f"m{i}").alias("m"),
-                F.col(f"converted{i}").alias("converted"),
-            )
-            for i, _, _ in pairs
-        ]
+    user = Window.partitionBy("user_id")
+    per_name = per_name.withColumns(
+        {
+            "leads": F.row_number().over(user.orderBy("event_name")) == 1,
+            **{f"inside{i}": F.sum(f"m{i}").over(user) for i, _, _ in pairs},
+            **{f"any{i}": F.max(f"converted{i}").over(user) for i, _, _ in pairs},
+        }
     )
-    # One row per user, event name and pair from here on.
-    long = per_user.select("user_id", "event_name", F.inline(entries))
+    entries = []
+    for i, s, t in pairs:
+        name = text_literal(f"{s} → {t}")
+        entries.append(
+            f"named_struct('pair_idx', {i}, 'step_pair', {name}, 'event', event_name, 'n', m{i})"
+        )
+        if include_direct:
+            direct = f"IF(leads AND any{i} AND inside{i} = 0, 1L, 0L)"
+            entries.append(
+                f"named_struct('pair_idx', {i}, 'step_pair', {name}, "
+                f"'event', {text_literal(DIRECT)}, 'n', {direct})"
+            )
     counts = (
-        long.filter(F.col("m") > 0)
-        .groupBy("pair_idx", "step_pair", F.col("event_name").alias("event"))
-        .agg(F.sum("m").alias("n"))
+        per_name.selectExpr(f"inline(array({', '.join(entries)}))")
+        .filter("n > 0")
+        .groupBy("pair_idx", "step_pair", "event")
+        .agg(F.sum("n").alias("n"))
     )
-    if include_direct:
-        direct = (
-            long.groupBy("user_id", "pair_idx", "step_pair")
-            .agg(F.sum("m").alias("m"), F.bool_or("converted").alias("converted"))
-            .filter(F.col("converted") & (F.col("m") == 0))
-            .groupBy("pair_idx", "step_pair")
-            .agg(F.count(F.lit(1)).alias("n"))
-            .withColumn("event", F.lit(DIRECT))
-        )
-        counts = counts.unionByName(direct)
     if top is not None:
         counts = _ranked(counts, ["pair_idx"], top)
     return counts.select("step_pair", "event", "n")

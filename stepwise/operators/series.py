@@ -20,10 +20,36 @@ def _rows(events: DataFrame, steps: Sequence[str]) -> DataFrame:
     return rows.select("user_id", "event_name", "us", "timestamp", *extra)
 
 
-def _reach(
-    rows: DataFrame, steps: Sequence[str], cfg: FunnelConfig, period: str, slices
+def _path_ends(rows: DataFrame, steps: Sequence[str], slices) -> tuple[DataFrame, Column]:
+    """Rows with the time at which the path that takes the next event of each following
+    step, in (time, ord) order, is complete.  The time is carried backwards from the last
+    step, one scan per step over the same sorted rows."""
+    ends = F.col("us")
+    for i in range(len(steps) - 1, 0, -1):
+        scan = {f"end{i}": ("min", F.when(F.col("event_name") == steps[i], ends))}
+        rows = running(rows, scan, side="after", by="row", slices=slices)
+        ends = F.col(f"end{i}")
+    return rows, ends
+
+
+def _per_user(
+    events: DataFrame,
+    steps: Sequence[str],
+    cfg: FunnelConfig,
+    period: str,
+    slices,
+    *,
+    strict: bool = False,
+    legacy_month: bool = False,
 ) -> DataFrame:
-    """Per user and start period: start time and whether each step was reached in time."""
+    """One row per user and period: activity, the earliest start in the period (null
+    without one), whether each step was reached from it in time, and completion.
+
+    Activity and starts come from the same shuffled rows.
+    """
+    rows = _rows(events, steps)
+    if strict and not cfg.unordered:
+        require_order(rows)
     slices = resolve(rows, slices)
     nexts = {
         f"x{i}": ("min", F.when(F.col("event_name") == s, F.col("us")))
@@ -31,36 +57,46 @@ def _reach(
         if i > 0
     }
     ahead = running(cut(rows, slices), nexts, side="after", ties=True, slices=slices)
+    ends = None
+    if strict and not cfg.unordered:
+        ahead, ends = _path_ends(ahead, steps, slices)
+    start_row = F.col("event_name") == steps[0]
+    inside = F.col("timestamp") < period_end("period", period, legacy_month)
     # The next occurrence after the earliest start is the smallest of the next occurrences.
-    starts = (
-        ahead.filter(F.col("event_name") == steps[0])
-        .groupBy("user_id", period_start("timestamp", period).alias("period"))
-        .agg(F.min("us").alias("start"), *[F.min(n).alias(n) for n in nexts])
-    )
-    return starts.withColumns(
-        {
-            "r0": F.lit(True),
-            **{n.replace("x", "r"): F.coalesce(F.col(n) <= F.col("start") + cfg.window_us, F.lit(False))
-               for n in nexts},
-        }
+    grouped = (
+        ahead.withColumn("period", period_start("timestamp", period))
+        .groupBy("user_id", "period")
+        .agg(
+            F.count(F.lit(1)).alias("n"),
+            F.count_if(inside).alias("n_inside"),
+            F.min(F.when(start_row, F.col("us"))).alias("start"),
+            *[F.min(F.when(start_row, F.col(n))).alias(n) for n in nexts],
+            *([] if ends is None else [F.min(F.when(start_row, ends)).alias("end")]),
+        )
     )
+    deadline = F.col("start") + cfg.window_us
 
+    def in_time(name: str) -> Column:
+        return F.coalesce(F.col(name) <= deadline, F.lit(False))
 
-def _activity(rows: DataFrame, period: str, legacy_month: bool) -> DataFrame:
-    """Events and distinct users per period, whole and up to the period's end."""
-    start = period_start("timestamp", period).alias("period")
-    inside = F.col("timestamp") < period_end("period", period, legacy_month)
-    per_user = (
-        rows.select("user_id", "timestamp", start)
-        .groupBy("period", "user_id")
-        .agg(F.count(F.lit(1)).alias("n"), F.count_if(inside).alias("n_inside"))
-    )
-    return per_user.groupBy("period").agg(
+    reached = {"r0": F.col("start").isNotNull(), **{f"r{n[1:]}": in_time(n) for n in nexts}}
+    grouped = grouped.withColumns(reached)
+    if ends is not None:
+        done = in_time("end")
+    elif strict:
+        done = F.expr(" AND ".join(reached))
+    else:
+        done = F.col(f"r{len(steps) - 1}")
+    return grouped.withColumn("completed", done)
+
+
+def _activity() -> list[Column]:
+    return [
         F.count(F.lit(1)).alias("total_unique_users"),
         F.sum("n").alias("total_events"),
         F.count_if(F.col("n_inside") > 0).alias("daily_active_users"),
         F.sum("n_inside").alias("daily_events_total"),
-    )
+    ]
 
 
 def _capped(part: Column, whole: Column) -> Column:
@@ -104,33 +140,29 @@ def time_series(
     starters.  ``legacy_month`` ends the activity of a month after 30 days.
     """
     steps = check_steps(steps)
-    rows = _rows(events, steps)
-    slices = resolve(rows, slices)
-    reach = _reach(rows, steps, cfg, period, slices)
-    counts = reach.groupBy("period").agg(
-        *[F.count_if(f"r{i}").alias(f"u{i}") for i in range(len(steps))]
+    per_user = _per_user(
+        events, steps, cfg, period, slices, strict=strict, legacy_month=legacy_month
     )
-    names = [f"u{i}" for i in range(len(steps))]
-    if strict:
-        done = (
-            strict_completion(events, steps, cfg, period, slices=slices)
-            .groupBy("period")
-            .agg(F.count_if("completed").alias("completed"))
-        )
-        counts = counts.join(done, "period", "left")
-    else:
-        counts = counts.withColumn("completed", F.col(names[-1]))
-    activity = _activity(rows, period, legacy_month)
-    table = activity.join(counts, "period", "left" if all_periods else "inner")
-    table = table.fillna(0, subset=[*names, "completed"])
-    return _finish(table, steps)
+    table = per_user.groupBy("period").agg(
+        *_activity(),
+        *[F.count_if(f"r{i}").alias(f"u{i}") for i in range(len(steps))],
+        F.count_if("completed").alias("completed"),
+    )
+    return _finish(table if all_periods else table.filter(F.col("u0") > 0), steps)
 
 
 def period_activity(
     events: DataFrame, steps: Sequence[str], period: str = "daily", *, legacy_month: bool = False
 ) -> DataFrame:
-    """Activity of the funnel events per period."""
-    return _activity(_rows(events, steps), period, legacy_month)
+    """Activity of the funnel events per period: whole, and up to the period's end."""
+    inside = F.col("timestamp") < period_end("period", period, legacy_month)
+    per_user = (
+        _rows(events, steps)
+        .select("user_id", "timestamp", period_start("timestamp", period).alias("period"))
+        .groupBy("period", "user_id")
+        .agg(F.count(F.lit(1)).alias("n"), F.count_if(inside).alias("n_inside"))
+    )
+    return per_user.groupBy("period").agg(*_activity())
 
 
 def step_counts(
@@ -143,9 +175,11 @@ def step_counts(
 ) -> DataFrame:
     """Long form: users of a start period that reached each step."""
     steps = check_steps(steps)
-    reach = _reach(_rows(events, steps), steps, cfg, period, slices)
-    counts = reach.groupBy("period").agg(
-        *[F.count_if(f"r{i}").alias(f"u{i}") for i in range(len(steps))]
+    counts = (
+        _per_user(events, steps, cfg, period, slices)
+        .filter("r0")
+        .groupBy("period")
+        .agg(*[F.count_if(f"r{i}").alias(f"u{i}") for i in range(len(steps))])
     )
     entries = F.array(
         *[
@@ -166,36 +200,11 @@ def strict_completion(
 ) -> DataFrame:
     """Per starter and period: were all steps done in order inside the window?
 
-    From a start, the path takes the next event of each following step in (time, ord)
-    order.  The end of that path is carried backwards from the last step, one scan per
-    step over the same sorted rows.  Unordered funnels need all steps, in any order.
+    Unordered funnels need all steps, in any order.
     """
     steps = check_steps(steps)
-    rows = _rows(events, steps)
-    if cfg.unordered:
-        reach = _reach(rows, steps, cfg, period, slices)
-        all_steps = F.forall(F.array(*[F.col(f"r{i}") for i in range(len(steps))]), lambda x: x)
-        return reach.select("user_id", "period", "start", all_steps.alias("completed"))
-    require_order(rows)
-    slices = resolve(rows, slices)
-    chained = cut(rows, slices)
-    is_step = [F.col("event_name") == s for s in steps]
-    ends = F.col("us")
-    for i in range(len(steps) - 1, 0, -1):
-        scan = {f"end{i}": ("min", F.when(is_step[i], ends))}
-        chained = running(chained, scan, side="after", by="row", slices=slices)
-        ends = F.col(f"end{i}")
-    starts = (
-        chained.filter(is_step[0])
-        .groupBy("user_id", period_start("timestamp", period).alias("period"))
-        .agg(F.min("us").alias("start"), F.min(ends).alias("end"))
-    )
-    return starts.select(
-        "user_id",
-        "period",
-        from_micros("start").alias("start"),
-        F.coalesce(F.col("end") <= F.col("start") + cfg.window_us, F.lit(False)).alias("completed"),
-    )
+    starts = _per_user(events, steps, cfg, period, slices, strict=True).filter("r0")
+    return starts.select("user_id", "period", from_micros("start").alias("start"), "completed")
 
 
 # Summaries of a time-series table; their windows run over its periods.

@@ -15,68 +15,51 @@ from pyspark.sql import functions as F
 
 
 def exact_quantiles(
-    df: DataFrame,
+    counted: DataFrame,
     keys: Sequence[str],
     value: str,
+    weight: str,
     probabilities: Sequence[float],
     upper: int,
 ) -> DataFrame:
     """Columns ``keys`` and ``q0..qn`` for integer values in [0, upper].
 
+    ``counted`` has one row per group and distinct value, with its number of occurrences.
     Linear interpolation between neighbouring ranks, as numpy and Spark's ``percentile``.
     """
     keys = list(keys)
     width = max(1, math.isqrt(upper) + 1)
-    cell = F.call_function("div", F.col(value), F.lit(width))
-    by_cell = Window.partitionBy(*keys).orderBy("_cell")
+    placed = counted.withColumn("_cell", F.call_function("div", F.col(value), F.lit(width)))
     cells = (
-        df.groupBy(*keys, cell.alias("_cell"))
-        .agg(F.count(F.lit(1)).alias("_n"))
-        .withColumn("_upto", F.sum("_n").over(by_cell))
+        placed.groupBy(*keys, "_cell")
+        .agg(F.sum(weight).alias("_n"))
+        .withColumn("_upto", F.sum("_n").over(Window.partitionBy(*keys).orderBy("_cell")))
         .withColumn("_total", F.sum("_n").over(Window.partitionBy(*keys)))
     )
     wanted = []
     for i, p in enumerate(probabilities):
-        position = F.lit(float(p)) * (F.col("_total") - 1)
-        low = F.floor(position)
-        for end, rank in (("lo", low), ("hi", F.ceil(position))):
+        position = f"({float(p)!r}D * (_total - 1))"
+        for end, rank in (("lo", "floor"), ("hi", "ceil")):
             wanted.append(
-                F.struct(
-                    F.lit(i).alias("_q"),
-                    F.lit(end).alias("_end"),
-                    rank.alias("_rank"),
-                    (position - low).alias("_part"),
-                )
+                f"named_struct('_q', {i}, '_end', '{end}', '_rank', {rank}({position}), "
+                f"'_part', {position} - floor({position}))"
             )
     ranks = (
-        cells.select(*keys, "_cell", "_n", "_upto", F.inline(F.array(*wanted)))
-        .filter((F.col("_rank") < F.col("_upto")) & (F.col("_rank") >= F.col("_upto") - F.col("_n")))
-        .select(
-            *keys, "_cell", "_q", "_end", "_part",
-            (F.col("_rank") - F.col("_upto") + F.col("_n")).alias("_inner"),
-        )
+        cells.selectExpr(*keys, "_cell", "_n", "_upto", f"inline(array({', '.join(wanted)}))")
+        .filter("_rank < _upto AND _rank >= _upto - _n")
+        .selectExpr(*keys, "_cell", "_q", "_end", "_part", "_rank - _upto + _n AS _inner")
     )
-    # A pair of rows per group and probability, so far below any broadcast limit per group.
+    # Two rows per group and probability at most.
     hit = ranks.select(*keys, "_cell").distinct()
     by_value = Window.partitionBy(*keys, "_cell").orderBy(value)
-    values = (
-        df.withColumn("_cell", cell)
-        .join(hit, [*keys, "_cell"], "left_semi")
-        .groupBy(*keys, "_cell", value)
-        .agg(F.count(F.lit(1)).alias("_m"))
-        .withColumn("_seen", F.sum("_m").over(by_value))
+    values = placed.join(hit, [*keys, "_cell"]).withColumn("_seen", F.sum(weight).over(by_value))
+    found = ranks.join(values, [*keys, "_cell"]).filter(
+        f"_inner < _seen AND _inner >= _seen - {weight}"
     )
-    found = (
-        ranks.join(values, [*keys, "_cell"])
-        .filter(
-            (F.col("_inner") < F.col("_seen")) & (F.col("_inner") >= F.col("_seen") - F.col("_m"))
-        )
-        .groupBy(*keys)
+    low = "max(IF(_q = {i} AND _end = 'lo', {v}, NULL))"
+    high = "max(IF(_q = {i} AND _end = 'hi', {v}, NULL))"
+    part = "max(IF(_q = {i}, _part, NULL))"
+    text = f"{low} + ({high} - {low}) * {part}"
+    return found.groupBy(*keys).agg(
+        *[F.expr(text.format(i=i, v=value)).alias(f"q{i}") for i in range(len(probabilities))]
     )
-    outputs = []
-    for i in range(len(probabilities)):
-        low = F.max(F.when((F.col("_q") == i) & (F.col("_end") == "lo"), F.col(value)))
-        high = F.max(F.when((F.col("_q") == i) & (F.col("_end") == "hi"), F.col(value)))
-        part = F.max(F.when(F.col("_q") == i, F.col("_part")))
-        outputs.append((low + (high - low) * part).alias(f"q{i}"))
-    return found.agg(*outputs)

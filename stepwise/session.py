@@ -12,6 +12,9 @@ SETTINGS = {
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.advisoryPartitionSizeInBytes": "128m",
+    # Plans are built from many Column calls; recording the call site of each costs more
+    # than planning.
+    "spark.python.sql.dataFrameDebugging.enabled": "false",
 }
 
 

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from stepwise.functions.texts import text_literal
 from stepwise.model import EVENT_SCHEMA, REQUIRED_COLUMNS
 
 # Text forms of missing user ids.
@@ -145,4 +146,5 @@ def write_result(df: DataFrame, path: str, fmt: str = "parquet", mode: str = "er
 
 def valid_users(df: DataFrame) -> DataFrame:
     """Drop rows without a usable user id."""
-    return df.filter(F.col("user_id").isNotNull() & ~F.col("user_id").isin(*INVALID_USERS))
+    invalid = ", ".join(text_literal(u) for u in INVALID_USERS)
+    return df.filter(f"user_id IS NOT NULL AND user_id NOT IN ({invalid})")

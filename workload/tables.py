@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from functools import reduce
+from functools import reduce, wraps
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -17,10 +17,27 @@ STEPS = ["signup", "view", "purchase"]
 ORDER_STEPS = ["O", "P", "F"]
 
 
+def shared(build):
+    """One lazy table per session and folder: files are listed and typed once, and read by
+    each query that uses the table."""
+    known: dict[tuple, DataFrame] = {}
+
+    @wraps(build)
+    def get(spark: SparkSession, sf_dir: str, *args: str) -> DataFrame:
+        key = (spark.sparkContext.applicationId, sf_dir, *args)
+        if key not in known:
+            known[key] = build(spark, sf_dir, *args)
+        return known[key]
+
+    return get
+
+
+@shared
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+@shared
 def events(spark: SparkSession, sf_dir: str) -> DataFrame:
     tier = F.when(F.col("user_id") % 3 == 0, "free").when(F.col("user_id") % 3 == 1, "pro")
     return canonical(
@@ -38,6 +55,7 @@ def events(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@shared
 def orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Orders of a customer: the status is the event, the order date its time."""
     return canonical(
@@ -51,6 +69,7 @@ def orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@shared
 def conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Turns of a conversation, an hour apart."""
     start = F.lit("2024-01-01 00:00:00").cast("timestamp_ntz")
@@ -74,10 +93,10 @@ def names(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
     """Doubles rounded so that two engines' results can be compared by value."""
-    return df.select(
+    return df.selectExpr(
         *[
-            F.round(c.name, digits).alias(c.name) if c.dataType.typeName() == "double" else c.name
-            for c in df.schema.fields
+            f"round(`{name}`, {digits}) AS `{name}`" if kind == "double" else f"`{name}`"
+            for name, kind in df.dtypes
         ]
     )
 
