@@ -1,7 +1,7 @@
 """Headline queries on the tables in $BENCH_SF_DIR; prints one JSON line.
 
-Each query is planned and executed anew on every run.  One run warms the JVM (class loading,
-code generation, file listing); the reported time is the median of the following runs.
+Each query is planned and executed anew on every run, from the files.  Two runs warm the JVM
+(class loading, code generation); the reported time is the median of the following runs.
 """
 
 from __future__ import annotations
@@ -41,17 +41,18 @@ HEADLINE = (
     "h18_statistics",
     "k2_event_statistics",
 )
-RUNS = 3
+WARM_UPS = 2
+RUNS = 5
 
 
 def measure(spark, run, sf_dir: str) -> float:
     times = []
-    for _ in range(RUNS + 1):
+    for _ in range(WARM_UPS + RUNS):
         start = time.perf_counter()
         # The rows themselves are computed and dropped: the driver's fetch is not measured.
         run(spark, sf_dir).write.format("noop").mode("overwrite").save()
         times.append(time.perf_counter() - start)
-    return statistics.median(times[1:])
+    return statistics.median(times[WARM_UPS:])
 
 
 def main() -> None:

@@ -27,11 +27,13 @@ from stepwise.functions.labels import (
 from stepwise.functions.times import from_micros, seconds_as_hours, whole_hours
 from stepwise.model import HOUR_US
 from stepwise.operators.events import require_order, timed
+from stepwise.plans.lineage import materialised
 from stepwise.plans.ordered import sequence
 from stepwise.plans.skew import cut, resolve
 
 MIN_FREQUENCY = 10
 TOP_VARIANTS = 20
+SPELL_LIMIT = 100_000
 TOP_TWO_STEP = 5
 TOP_THREE_STEP = 3
 TOP_CYCLES = 10
@@ -202,15 +204,11 @@ def _signatures(walks: DataFrame) -> DataFrame:
     )
 
 
-def variants(walks: DataFrame) -> DataFrame:
-    """Paths followed by at least a tenth of the users (at least one), top 20.
-
-    Only the surviving paths are spelled out, each from one user that followed it.
-    """
-    by = ("length", "sig_a", "sig_b")
+def _variant_groups(walks: DataFrame) -> DataFrame:
+    """Surviving variants with their measures and one user that followed each."""
     groups = (
         _signatures(walks)
-        .groupBy(*by)
+        .groupBy("length", "sig_a", "sig_b")
         .agg(
             F.count(F.lit(1)).alias("frequency"),
             F.avg("hours").alias("avg_duration"),
@@ -220,21 +218,54 @@ def variants(walks: DataFrame) -> DataFrame:
     )
     users = groups.agg(F.sum("frequency").alias("u")).scalar()
     threshold = F.greatest(F.lit(1), F.call_function("div", users, F.lit(10)))
-    kept = groups.filter(F.col("frequency") >= threshold)
-    # A tenth of the users each: fewer than twenty rows.
+    return groups.filter(F.col("frequency") >= threshold).drop("sig_a", "sig_b")
+
+
+def variant_steps(walks: DataFrame) -> DataFrame:
+    """The variants in long form, one row per position of the path; ``example_user`` names
+    the variant.  No path is gathered into a row, however long it is."""
+    # A tenth of the users each: fewer than twenty variants to broadcast.
+    kept = F.broadcast(_variant_groups(walks).select("user_id", "frequency"))
+    return (
+        walks.select("user_id", "pos", "event_name")
+        .join(kept, "user_id")
+        .select(
+            F.col("user_id").alias("example_user"),
+            "frequency",
+            F.col("pos").alias("position"),
+            "event_name",
+        )
+    )
+
+
+def variants(walks: DataFrame, spell_limit: int = SPELL_LIMIT) -> DataFrame:
+    """Paths followed by at least a tenth of the users (at least one), top 20.
+
+    Only the surviving paths are spelled out, each from one user that followed it.  A path
+    of more than ``spell_limit`` events is not gathered into a row: its ``path`` is null,
+    and ``variant_steps`` gives it in full under the same ``example_user``.
+    """
+    kept = _variant_groups(walks)
+    short = F.broadcast(kept.filter(F.col("length") <= spell_limit).select("user_id"))
     spelled = (
         walks.select("user_id", "pos", "event_name")
-        .join(F.broadcast(kept), "user_id")
-        .groupBy("user_id", "frequency", "avg_duration", "success_rate")
+        .join(short, "user_id")
+        .groupBy("user_id")
         .agg(F.array_sort(F.collect_list(F.struct("pos", "event_name"))).alias("steps"))
+        .select(
+            "user_id",
+            F.array_join(F.transform("steps", lambda s: s["event_name"]), ARROW).alias("path"),
+        )
     )
     return (
-        spelled.select(
-            F.array_join(F.transform("steps", lambda s: s["event_name"]), ARROW).alias("path"),
+        kept.join(spelled, "user_id", "left")
+        .select(
+            "path",
             "frequency",
             "success_rate",
             "avg_duration",
             variant_type("success_rate").alias("variant_type"),
+            F.col("user_id").alias("example_user"),
         )
         .orderBy(F.col("frequency").desc(), "path")
         .limit(TOP_VARIANTS)
@@ -395,8 +426,13 @@ def cycles(log: DataFrame, edges: DataFrame, *, slices="auto", limit: int = TOP_
 
 def simple_cycles(edges: DataFrame, max_length: int = MAX_CYCLE) -> DataFrame:
     """Simple cycles of the transition graph up to a length, beginning at their
-    alphabetically first activity; one join per length."""
-    hops = edges.select(F.col("source").alias("hop_from"), F.col("target").alias("hop_to"))
+    alphabetically first activity; one join per length.
+
+    The edges, a table of activity pairs, are written once before the joins.
+    """
+    hops = materialised(
+        edges.select(F.col("source").alias("hop_from"), F.col("target").alias("hop_to"))
+    )
     paths = hops.select(F.array("hop_from").alias("path")).distinct()
     closed = None
     for length in range(1, max_length + 1):
@@ -509,7 +545,7 @@ def statistics(walks: DataFrame, edges: DataFrame) -> DataFrame:
 
 
 def insights(
-    acts: DataFrame, found_cycles: DataFrame, found_variants: DataFrame, stats: DataFrame
+    acts: DataFrame, found_cycles: DataFrame | None, found_variants: DataFrame, stats: DataFrame
 ) -> DataFrame:
     """Rules that fire, as (rule, subject, value); wording is left to the reader."""
 
@@ -526,9 +562,6 @@ def insights(
         F.col("avg_duration").desc(), "event_name"
     )
     popular = found_variants.orderBy(F.col("frequency").desc(), "path")
-    negative = found_cycles.filter(F.col("impact") == "negative").orderBy(
-        F.col("frequency").desc(), "cycle"
-    )
     parts = [
         rule(
             stats.filter(F.col("unique_paths") > F.col("total_cases") * 0.8),
@@ -536,10 +569,16 @@ def insights(
         ),
         rule(slow.limit(1), "bottleneck", F.col("event_name"), F.col("avg_duration")),
         rule(popular.limit(1), "most_common_path", F.col("path"), F.col("frequency")),
-        rule(negative.limit(1), "negative_cycle", F.col("cycle"), F.col("frequency")),
         rule(stats.filter(completion < 30), "low_completion", nothing, completion),
         rule(stats.filter(completion > 70), "high_completion", nothing, completion),
     ]
+    if found_cycles is not None:
+        negative = found_cycles.filter(F.col("impact") == "negative").orderBy(
+            F.col("frequency").desc(), "cycle"
+        )
+        parts.append(
+            rule(negative.limit(1), "negative_cycle", F.col("cycle"), F.col("frequency"))
+        )
     result = parts[0]
     for part in parts[1:]:
         result = result.unionByName(part)
@@ -551,10 +590,14 @@ def main_path(acts: DataFrame, edges: DataFrame) -> DataFrame:
 
     Start: a source without incoming transitions, else the most frequent activity; ties go
     to the alphabetically first name.  The walk ends at a repeat, so it has one row per
-    activity at most; the recursion runs on one edge per activity.
+    activity at most.  The best edge of each activity is written once, so that the steps of
+    the recursion do not go back to the events.
     """
-    best = edges.groupBy(F.col("source").alias("node")).agg(
-        F.min(F.struct(-F.col("frequency"), F.col("target")))["target"].alias("next_node")
+    spark = acts.sparkSession
+    best = materialised(
+        edges.groupBy(F.col("source").alias("node")).agg(
+            F.min(F.struct(-F.col("frequency"), F.col("target")))["target"].alias("next_node")
+        )
     )
     sources = edges.select(F.col("source").alias("node")).distinct()
     targets = edges.select(F.col("target").alias("node")).distinct()
@@ -562,8 +605,8 @@ def main_path(acts: DataFrame, edges: DataFrame) -> DataFrame:
     busiest = acts.agg(
         F.min(F.struct(-F.col("frequency"), F.col("event_name")))["event_name"].alias("node")
     )
-    start = busiest.select(F.coalesce(entry, F.col("node")).alias("node"))
-    return acts.sparkSession.sql(
+    start = materialised(busiest.select(F.coalesce(entry, F.col("node")).alias("node")))
+    return spark.sql(
         """
         WITH RECURSIVE walk(activity, position, visited) AS (
             SELECT node, 0, array(node) FROM {start} WHERE node IS NOT NULL

@@ -397,6 +397,7 @@ def path_summary(
     slices="auto",
 ) -> DataFrame:
     """Drop-off destinations and between-step events of all adjacent step pairs."""
+    slices = resolve(_history(events, funnel_filter), slices)
     shared = {"top": top, "funnel_filter": funnel_filter, "slices": slices}
     drop = dropoff_events(events, steps, cfg, horizon_us=horizon_us, **shared)
     between = between_events(events, steps, cfg, include_direct=include_direct, **shared)

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from stepwise.model import ALL_USERS, FunnelConfig
 from stepwise.operators import cohort, convert, funnel, mining, paths, stats
-from stepwise.operators.events import segment_label, segment_names
+from stepwise.operators.events import segment_label, segment_names, timed
 from stepwise.plans.skew import resolve
 from stepwise.sources.readers import valid_users
 
@@ -31,6 +31,7 @@ def funnel_report(
 
     An empty event table, like a funnel of fewer than two steps, gives an empty funnel.
     """
+    slices = resolve(timed(events), slices)
     table = funnel.funnel(events, steps, cfg, slices=slices)
     if len(steps) < 2 or events.select("user_id").isEmpty():
         return {"funnel": table.limit(0)}
@@ -84,8 +85,6 @@ def process_report(
         "variants": found,
         "endpoints": mining.endpoints(walks),
         "statistics": stats_row,
+        "insights": mining.insights(acts, loops, found, stats_row),
     }
-    if loops is not None:
-        report["cycles"] = loops
-        report["insights"] = mining.insights(acts, loops, found, stats_row)
-    return report
+    return report if loops is None else {**report, "cycles": loops}

@@ -1,15 +1,19 @@
 """Cutting hot users into slices.
 
 Ordered work is partitioned by user, so one user holding a large share of all rows would
-become one task.  ``measure`` counts rows per user and, for users above a bound only,
-chooses a time grid fine enough that every (user, grid cell) stays below the bound.  The
-grid has one row per hot user; there are at most ``rows / max_rows`` of those, which is
-what makes collecting and broadcasting it safe at any data size.  All other users keep a
-single slice, and when nobody is hot the plans carry no trace of this module.
+become one task.  ``measure`` counts rows per user and, for users above a bound only, takes
+time quantiles that cut the user's history into slices below the bound.  A moment that
+alone exceeds the bound becomes a slice of one microsecond, split further by ``ord``.
+
+The cut points are about ``4 * rows / max_rows`` numbers in total, whatever the number of
+hot users; that bound is what makes collecting and broadcasting them safe.  They are
+collected once, so every use of them in a plan agrees.  All other users keep one slice,
+and when nobody is hot the plans carry no trace of this module.
 """
 
 from __future__ import annotations
 
+from collections import defaultdict
 from collections.abc import Sequence
 from dataclasses import dataclass
 
@@ -19,7 +23,9 @@ from pyspark.sql import functions as F
 MAX_ROWS = 2_000_000
 # A table estimated below this fits in one task whole, so no user in it can be too large.
 SMALL_BYTES = 64 << 20
-MAX_ROUNDS = 30
+# Quantile steps per max_rows: leaves room for the error of the quantiles.
+STEPS_PER_SLICE = 4
+MAX_STEP_BITS = 20
 
 SLICE_TIME = "_slice_time"
 SLICE_ROW = "_slice_row"
@@ -30,31 +36,38 @@ SLICE_COLUMNS = (SLICE_TIME, SLICE_ROW, HOT, TIED)
 
 @dataclass(frozen=True)
 class Slices:
-    """Time grid of the hot users: key columns, base_us, grain_us, split_ties."""
+    """Sorted cut points (microseconds) of the hot keys: key columns and ``_cuts``."""
 
     grid: DataFrame
     keys: tuple[str, ...]
     max_rows: int
+    longest: int
 
     def cut(self, df: DataFrame) -> DataFrame:
-        """Add the slice columns; ``_slice_row`` splits rows that share one microsecond."""
-        row_cell = (
-            F.floor(F.col("ord") / self.max_rows) if "ord" in df.columns else F.lit(0)
+        """Add the slice columns: ``_slice_time`` counts the cut points up to the row's
+        time, ``_slice_row`` splits rows that share one microsecond or have no time."""
+        # Binary search: halving jumps over the sorted cut points, null past the end.
+        jumps = ", ".join(str(1 << b) for b in reversed(range(self.longest.bit_length())))
+        place = (
+            f"aggregate(array({jumps}), -1, (i, jump) -> "
+            "IF(get(_cuts, i + jump) <= us, i + jump, i))"
         )
+        row_cell = f"ord div {self.max_rows}" if "ord" in df.columns else "0L"
         return (
             df.join(F.broadcast(self.grid), list(self.keys), "left")
+            .withColumn(HOT, F.expr("_cuts IS NOT NULL"))
             .withColumn(
-                SLICE_TIME,
-                F.coalesce(
-                    F.floor((F.col("us") - F.col("base_us")) / F.col("grain_us")), F.lit(0)
-                ).cast("bigint"),
+                SLICE_TIME, F.expr(f"IF({HOT}, IF(us IS NULL, -2, {place}), -1)")
             )
             .withColumn(
-                SLICE_ROW, F.when(F.col("split_ties"), row_cell).otherwise(0).cast("bigint")
+                TIED,
+                F.expr(
+                    f"{HOT} AND (us IS NULL OR coalesce("
+                    f"get(_cuts, {SLICE_TIME} + 1) = get(_cuts, {SLICE_TIME}) + 1, false))"
+                ),
             )
-            .withColumn(HOT, F.col("base_us").isNotNull())
-            .withColumn(TIED, F.coalesce("split_ties", F.lit(False)))
-            .drop("base_us", "grain_us", "split_ties")
+            .withColumn(SLICE_ROW, F.expr(f"CAST(IF({TIED}, {row_cell}, 0) AS BIGINT)"))
+            .drop("_cuts")
         )
 
 
@@ -73,10 +86,17 @@ def cut(df: DataFrame, slices: Slices | None) -> DataFrame:
 def resolve(
     df: DataFrame, slices: Slices | str | None, keys: Sequence[str] = ("user_id",)
 ) -> Slices | None:
-    """Turn the ``slices`` argument of an operator into a grid or None."""
+    """Turn the ``slices`` argument of an operator into cut points or None."""
     return measure(df, keys=keys) if slices == "auto" else slices
 
 
+def _cut_points(quantiles: Sequence[int]) -> list[int]:
+    """Distinct quantiles; one that repeats is a crowded moment and gets a slice alone."""
+    points = set(quantiles)
+    points |= {a + 1 for a, b in zip(quantiles, quantiles[1:]) if a == b}
+    return sorted(points)
+
+
 def measure(
     df: DataFrame,
     *,
@@ -86,8 +106,9 @@ def measure(
 ) -> Slices | None:
     """Find hot keys of ``df`` (needs the key columns and ``us``); None when there are none.
 
-    Callers that run several operators over the same events can measure once and pass
-    the result to each of them.
+    Tables that Catalyst estimates as small are not measured.  Otherwise this runs one
+    counting job, and quantile jobs over the hot keys' rows if there are any.  Callers that
+    run several operators over the same events can measure once and pass the result on.
     """
     keys = tuple(keys)
     if not force:
@@ -95,48 +116,34 @@ def measure(
         if size is not None and size <= SMALL_BYTES:
             return None
     narrow = df.select(*keys, "us")
+    # At most rows / max_rows rows.
     hot = (
         narrow.groupBy(*keys)
-        .agg(F.count(F.lit(1)).alias("n"), F.min("us").alias("lo"), F.max("us").alias("hi"))
-        .filter((F.col("n") > max_rows) & F.col("lo").isNotNull())
+        .agg(F.count(F.lit(1)).alias("n"))
+        .filter(F.col("n") > max_rows)
         .collect()
     )
     if not hot:
         return None
-    target = max(1, max_rows // 2)
-    bases = {tuple(r[k] for k in keys): r["lo"] for r in hot}
-    grains = {
-        tuple(r[k] for k in keys): max(1, (r["hi"] - r["lo"] + 1) * target // r["n"]) for r in hot
-    }
-    tied: set[tuple] = set()
-    key_types = {f.name: f.dataType.simpleString() for f in df.schema.fields}
-    schema = ", ".join(f"`{k}` {key_types[k]}" for k in keys)
-    schema += ", base_us bigint, grain_us bigint, split_ties boolean"
-
-    def slices() -> Slices:
-        rows = [(*k, bases[k], grains[k], k in tied) for k in grains]
-        return Slices(df.sparkSession.createDataFrame(rows, schema), keys, max_rows)
-
-    for _ in range(MAX_ROUNDS):
-        current = slices()
-        overfull = (
-            current.cut(narrow)
-            .filter(HOT)
-            .groupBy(*keys, SLICE_TIME)
-            .count()
+    types = {f.name: f.dataType.simpleString() for f in df.schema.fields}
+    schema = ", ".join(f"`{k}` {types[k]}" for k in keys)
+    spark = df.sparkSession
+    # Users needing about the same number of quantiles share one job.
+    classes = defaultdict(list)
+    for r in hot:
+        steps = -(-r["n"] * STEPS_PER_SLICE // max_rows)
+        classes[min(MAX_STEP_BITS, (steps - 1).bit_length())].append(tuple(r[k] for k in keys))
+    rows = []
+    for bits, members in classes.items():
+        steps = 1 << bits
+        shares = ", ".join(f"{i / steps!r}D" for i in range(1, steps))
+        mine = F.broadcast(spark.createDataFrame(members, schema))
+        found = (
+            narrow.join(mine, list(keys))
             .groupBy(*keys)
-            .agg(F.max("count").alias("worst"))
-            .filter(F.col("worst") > max_rows)
+            .agg(F.expr(f"percentile_approx(us, array({shares}), {max(10_000, 20 * steps)})"))
             .collect()
         )
-        retry = False
-        for r in overfull:
-            key = tuple(r[k] for k in keys)
-            if grains[key] == 1:
-                tied.add(key)  # more than max_rows in one microsecond
-            else:
-                grains[key] = max(1, grains[key] * target // r["worst"])
-                retry = True
-        if not retry:
-            break
-    return slices()
+        rows += [(*r[:-1], _cut_points(r[-1] or [])) for r in found]
+    grid = spark.createDataFrame(rows, f"{schema}, _cuts array<bigint>")
+    return Slices(grid, keys, max_rows, max(1, *[len(r[-1]) for r in rows]))

@@ -18,6 +18,19 @@ SETTINGS = {
 }
 
 
+PARTITION_BYTES = 128 << 20
+
+
+def cluster_settings(shuffled_bytes: int, cores: int) -> dict[str, str]:
+    """Settings for a job that shuffles about this many bytes on this many cores.
+
+    Partitions of about 128 MB, and at least two per core; AQE merges those that turn out
+    small.  100 TB gives about 800,000 partitions.
+    """
+    partitions = max(2 * cores, -(-shuffled_bytes // PARTITION_BYTES))
+    return {**SETTINGS, "spark.sql.shuffle.partitions": str(partitions)}
+
+
 def local_session(cpus: int | str = "*", **conf: str) -> SparkSession:
     """A single-machine session for tests and benchmarks."""
     builder = (

@@ -188,3 +188,24 @@ def test_main_path(make):
     assert [r["activity"] for r in path.orderBy("position").collect()] == ["S", "T", "U"]
     loss = mining.main_path_dropout(path, acts).orderBy("position").collect()
     assert [r["dropout_rate"] for r in loss] == [0, 25, 0]
+
+
+def test_long_variants_are_not_gathered(make):
+    rows = [r for u in range(2) for r in walk(f"u{u}", ["A", "B", "C", "D"])]
+    rows += walk("v", ["A", "B"])
+    walks = mining.journeys(mining.event_log(make(rows)))
+    found = {r["example_user"]: r for r in mining.variants(walks, spell_limit=3).collect()}
+    assert {u: (r["path"], r["frequency"]) for u, r in found.items()} == {
+        "u0": (None, 2), "v": ("A → B", 1),
+    }
+    steps = mining.variant_steps(walks).filter("example_user = 'u0'").orderBy("position")
+    assert [r["event_name"] for r in steps.collect()] == ["A", "B", "C", "D"]
+
+
+def test_report_without_cycles(make):
+    rows = [r for u in range(3) for r in walk(f"u{u}", ["A", "Error", "A", "Error"])]
+    report = process_report(make(rows), min_frequency=1, include_cycles=False)
+    assert "cycles" not in report
+    assert {r["rule"] for r in report["insights"].collect()} == {
+        "most_common_path", "low_completion",
+    }

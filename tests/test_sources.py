@@ -135,3 +135,10 @@ def test_catalogue(spark, make):
     assert catalog.overview(events).first()["users"] == 4
     nulls = {r["column_name"]: r["nulls"] for r in checks.profile(events).collect()}
     assert (nulls["user_id"], nulls["user_properties"]) == (0, 100)
+
+
+def test_cluster_settings():
+    from stepwise.session import cluster_settings
+
+    assert cluster_settings(1, 8)["spark.sql.shuffle.partitions"] == "16"
+    assert cluster_settings(100 << 40, 4000)["spark.sql.shuffle.partitions"] == "819200"

@@ -166,12 +166,28 @@ VARIANT_TYPE = """CASE WHEN success_rate > 80 THEN 'high_success' WHEN success_r
 ALL_VARIANTS = f"""SELECT path, frequency, round(success_rate, 6) AS success_rate,
     round(avg_duration, 6) AS avg_duration, {VARIANT_TYPE} AS variant_type FROM vr
     ORDER BY frequency DESC, path LIMIT 20"""
+
+
+def _variants(walks):
+    return mining.variants(walks).drop("example_user")
+
+
 QUERIES["h9_variants"] = (
-    _walks(mining.variants, conversations),
+    _walks(_variants, conversations),
     sk.query(sk.CV, WALKS, PATHS, select=ALL_VARIANTS),
 )
+QUERIES["h9_variant_steps"] = (
+    _walks(mining.variant_steps, conversations),
+    sk.query(
+        sk.CV, WALKS, PATHS,
+        """ex AS (SELECT v.path, v.frequency, min(p.user_id) AS example_user
+            FROM vr v JOIN pth p ON p.path = v.path GROUP BY ALL)""",
+        select="""SELECT example_user, frequency, pos AS position, event_name
+            FROM ex JOIN wk w ON w.user_id = ex.example_user""",
+    ),
+)
 QUERIES["h9_variants_all_unique"] = (
-    _walks(mining.variants),
+    _walks(_variants),
     sk.query(sk.EV, WALKS, PATHS, select=ALL_VARIANTS),
 )
 QUERIES["h10_path_success"] = (
