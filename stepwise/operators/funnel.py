@@ -183,15 +183,20 @@ def _event_totals(rows: DataFrame, steps: Sequence[str], cfg: FunnelConfig) -> D
 
 
 def _with_requested_segments(counts: DataFrame, cfg: FunnelConfig, n: int) -> DataFrame:
-    """Requested values without events are left out, unless no value matched at all."""
+    """Requested values without events are left out, unless no value matched at all.
+
+    ``counts`` has at most one row per requested value, so it fits in one map.
+    """
+    columns = ", ".join(f"n{i}" for i in range(n))
+    found = counts.agg(
+        F.expr(f"map_from_entries(collect_list(struct(segment, struct({columns}))))").alias("m")
+    )
     requested = ", ".join(text_literal(name) for name in segment_names(cfg))
-    wanted = counts.sparkSession.sql(f"SELECT explode(array({requested})) AS segment")
-    everything = Window.partitionBy()  # one row per requested value
-    return (
-        wanted.join(counts, "segment", "left")
-        .withColumn("_hits", F.count("n0").over(everything))
-        .filter(F.col("n0").isNotNull() | (F.col("_hits") == 0))
-        .select("segment", *[F.coalesce(f"n{i}", F.lit(0)).alias(f"n{i}") for i in range(n)])
+    users = ", ".join(f"'n{i}', coalesce(m[s].n{i}, 0L)" for i in range(n))
+    return found.selectExpr(
+        f"""inline(transform(
+            filter(array({requested}), s -> size(m) = 0 OR map_contains_key(m, s)),
+            s -> named_struct('segment', s, {users})))"""
     )
 
 
