@@ -36,13 +36,16 @@ def _keys(cfg: FunnelConfig) -> list[str]:
 
 
 def _rows(events: DataFrame, steps: Sequence[str], cfg: FunnelConfig) -> DataFrame:
+    """Step rows with the step's number: what travels through the shuffle is narrow."""
     rows = segment_events(timed(step_events(events, steps)), cfg)
-    keep = [*_keys(cfg), "event_name", "us", *(["ord"] if "ord" in rows.columns else [])]
-    return rows.select(*keep)
+    cases = " ".join(f"WHEN {text_literal(s)} THEN {i}" for i, s in enumerate(steps))
+    number = F.expr(f"CASE event_name {cases} END").alias("step_no")
+    order = ["ord"] if "ord" in rows.columns else []
+    return rows.select(*_keys(cfg), number, "us", *order)
 
 
-def _is(step: str) -> Column:
-    return F.col("event_name") == step
+def _is(number: int) -> Column:
+    return F.col("step_no") == number
 
 
 def _any(flag: Column) -> Column:
@@ -69,7 +72,7 @@ def _first_only(rows: DataFrame, steps: Sequence[str], cfg: FunnelConfig, slices
     require_order(rows)
     keys, window = _keys(cfg), cfg.window_us
     firsts = {
-        f"f{i}": F.min_by("us", F.when(_is(s), F.col("ord"))) for i, s in enumerate(steps)
+        f"f{i}": F.min_by("us", F.when(_is(i), F.col("ord"))) for i in range(len(steps))
     }
     # Transitions that need a look at later steps between the two events.
     strict = [
@@ -79,7 +82,7 @@ def _first_only(rows: DataFrame, steps: Sequence[str], cfg: FunnelConfig, slices
     ]
     if cfg.unordered:
         strict = []
-    seen = _any(_is(steps[0])).alias("seen")
+    seen = _any(_is(0)).alias("seen")
     if not strict:
         per_user = rows.groupBy(*keys).agg(seen, *[c.alias(n) for n, c in firsts.items()])
     else:
@@ -87,7 +90,7 @@ def _first_only(rows: DataFrame, steps: Sequence[str], cfg: FunnelConfig, slices
         with_firsts = totals(cut(rows, slices), firsts, slices=slices, keys=keys)
         skipped = [
             _any(
-                F.col("event_name").isin(*steps[i + 1 :])
+                (F.col("step_no") > i)
                 & (F.col("us") > F.col(f"f{i - 1}"))
                 & (F.col("us") < F.col(f"f{i}"))
             ).alias(f"bad{i}")
@@ -115,7 +118,7 @@ def _same_time(rows: DataFrame, steps: Sequence[str], cfg: FunnelConfig) -> Data
     """Zero window: some prev and curr event carry the same timestamp."""
     keys = _keys(cfg)
     per_time = rows.groupBy(*keys, "us").agg(
-        *[_any(_is(s)).alias(f"e{i}") for i, s in enumerate(steps)]
+        *[_any(_is(i)).alias(f"e{i}") for i in range(len(steps))]
     )
     timed_pair = F.col("us").isNotNull()
     flags = [F.col("e0")] + [
@@ -130,14 +133,12 @@ def _reentry(rows: DataFrame, steps: Sequence[str], cfg: FunnelConfig, slices) -
     later step strictly between the two."""
     keys, window = _keys(cfg), cfg.window_us
     slices = resolve(rows, slices)
-    nexts = {
-        f"x{i}": ("min", F.when(_is(s), F.col("us"))) for i, s in enumerate(steps) if i > 0
-    }
+    nexts = {f"x{i}": ("min", F.when(_is(i), F.col("us"))) for i in range(1, len(steps))}
     ahead = running(cut(rows, slices), nexts, side="after", slices=slices, keys=keys)
-    flags = [_is(steps[0])]
+    flags = [_is(0)]
     for i in range(1, len(steps)):
         found = F.col(f"x{i}")
-        ok = _is(steps[i - 1]) & (found - F.col("us") < window)
+        ok = _is(i - 1) & (found - F.col("us") < window)
         later = [F.col(f"x{j}") for j in range(i + 1, len(steps))]
         if later:
             soonest = F.least(*later) if len(later) > 1 else later[0]
@@ -151,12 +152,12 @@ def _any_order_pairs(rows: DataFrame, steps: Sequence[str], cfg: FunnelConfig, s
     """Converted when some prev and curr event are less than the window apart."""
     keys, window = _keys(cfg), cfg.window_us
     slices = resolve(rows, slices)
-    nexts = {f"x{i}": ("min", F.when(_is(s), F.col("us"))) for i, s in enumerate(steps)}
+    nexts = {f"x{i}": ("min", F.when(_is(i), F.col("us"))) for i in range(len(steps))}
     ahead = running(cut(rows, slices), nexts, side="after", ties=True, slices=slices, keys=keys)
-    flags = [_is(steps[0])]
+    flags = [_is(0)]
     for i in range(1, len(steps)):
-        forth = _is(steps[i - 1]) & (F.col(f"x{i}") - F.col("us") < window)
-        back = _is(steps[i]) & (F.col(f"x{i - 1}") - F.col("us") < window)
+        forth = _is(i - 1) & (F.col(f"x{i}") - F.col("us") < window)
+        back = _is(i) & (F.col(f"x{i - 1}") - F.col("us") < window)
         flags.append(forth | back)
     per_user = ahead.groupBy(*keys).agg(*[_any(f).alias(f"c{i}") for i, f in enumerate(flags)])
     return _count_users(per_user, _chained([F.col(f"c{i}") for i in range(len(steps))]), cfg)
@@ -165,7 +166,7 @@ def _any_order_pairs(rows: DataFrame, steps: Sequence[str], cfg: FunnelConfig, s
 def _unordered(rows: DataFrame, steps: Sequence[str], cfg: FunnelConfig) -> DataFrame:
     """Reached i when the first times of steps 0..i all exist and span at most the window."""
     per_user = rows.groupBy(*_keys(cfg)).agg(
-        *[F.min(F.when(_is(s), F.col("us"))).alias(f"t{i}") for i, s in enumerate(steps)]
+        *[F.min(F.when(_is(i), F.col("us"))).alias(f"t{i}") for i in range(len(steps))]
     )
     flags = [F.col("t0").isNotNull()]
     for i in range(1, len(steps)):
@@ -178,7 +179,7 @@ def _unordered(rows: DataFrame, steps: Sequence[str], cfg: FunnelConfig) -> Data
 def _event_totals(rows: DataFrame, steps: Sequence[str], cfg: FunnelConfig) -> DataFrame:
     by = ["segment"] if cfg.segmented else []
     return rows.groupBy(*by).agg(
-        *[F.count_if(_is(s)).alias(f"n{i}") for i, s in enumerate(steps)]
+        *[F.count_if(_is(i)).alias(f"n{i}") for i in range(len(steps))]
     )
 
 
