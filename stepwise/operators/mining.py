@@ -381,8 +381,9 @@ def _span_hours(log: DataFrame, cycles: DataFrame) -> DataFrame:
         F.array_join("path", ARROW).alias("cycle"),
         F.explode(F.array(F.col("path")[0], F.element_at("path", -1))).alias("event_name"),
     )
+    # Two rows for each of the few listed cycles.
     return (
-        per_user.join(ends, "event_name")
+        per_user.join(F.broadcast(ends), "event_name")
         .groupBy("cycle", "user_id")
         .agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"))
         .filter(F.col("lo") != F.col("hi"))

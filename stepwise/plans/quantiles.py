@@ -41,20 +41,26 @@ def exact_quantiles(
         position = f"({float(p)!r}D * (_total - 1))"
         for end, rank in (("lo", "floor"), ("hi", "ceil")):
             wanted.append(
-                f"named_struct('_q', {i}, '_end', '{end}', '_rank', {rank}({position}), "
+                f"named_struct('_q', {i}, '_end', '{end}', "
+                f"'_inner', {rank}({position}) - (_upto - _n), "
                 f"'_part', {position} - floor({position}))"
             )
-    ranks = (
-        cells.selectExpr(*keys, "_cell", "_n", "_upto", f"inline(array({', '.join(wanted)}))")
-        .filter("_rank < _upto AND _rank >= _upto - _n")
-        .selectExpr(*keys, "_cell", "_q", "_end", "_part", "_rank - _upto + _n AS _inner")
-    )
-    # Two rows per group and probability at most.
-    hit = ranks.select(*keys, "_cell").distinct()
+    # Cells that hold a wanted rank, with the ranks' places inside: two per group and
+    # probability at most.
+    hit = cells.selectExpr(
+        *keys,
+        "_cell",
+        f"filter(array({', '.join(wanted)}), w -> w._inner >= 0 AND w._inner < _n) AS _wants",
+    ).filter("size(_wants) > 0")
     by_value = Window.partitionBy(*keys, "_cell").orderBy(value)
-    values = placed.join(hit, [*keys, "_cell"]).withColumn("_seen", F.sum(weight).over(by_value))
-    found = ranks.join(values, [*keys, "_cell"]).filter(
-        f"_inner < _seen AND _inner >= _seen - {weight}"
+    found = (
+        placed.join(hit, [*keys, "_cell"])
+        .withColumn("_seen", F.sum(weight).over(by_value))
+        .selectExpr(
+            *keys,
+            value,
+            f"inline(filter(_wants, w -> w._inner < _seen AND w._inner >= _seen - {weight}))",
+        )
     )
     low = "max(IF(_q = {i} AND _end = 'lo', {v}, NULL))"
     high = "max(IF(_q = {i} AND _end = 'hi', {v}, NULL))"

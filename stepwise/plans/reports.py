@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from stepwise.model import ALL_USERS, FunnelConfig
 from stepwise.operators import cohort, convert, funnel, mining, paths, stats
 from stepwise.operators.events import segment_label, segment_names, timed
+from stepwise.plans.lineage import materialised
 from stepwise.plans.skew import resolve
 from stepwise.sources.readers import valid_users
 
@@ -66,15 +67,22 @@ def process_report(
     time_window_hours: float | None = None,
     as_of: datetime | None = None,
     filter_events: Sequence[str] | None = None,
+    materialise: bool = False,
     slices="auto",
 ) -> dict[str, DataFrame]:
-    """Activities, transitions, cycles, variants, endpoints, statistics and insights."""
+    """Activities, transitions, cycles, variants, endpoints, statistics and insights.
+
+    ``materialise`` writes the journeys and the transitions to the checkpoint folder once,
+    so that the tables, each an action of its own, do not repeat the ordering of the log.
+    """
     log = mining.event_log(
         events, time_window_hours=time_window_hours, as_of=as_of, filter_events=filter_events
     )
     slices = resolve(log, slices)
     walks = mining.journeys(log, slices=slices)
+    walks = materialised(walks) if materialise else walks
     edges = mining.transitions(walks, min_frequency)
+    edges = materialised(edges) if materialise else edges
     acts = mining.activities(walks)
     found = mining.variants(walks)
     stats_row = mining.statistics(walks, edges)

@@ -108,7 +108,7 @@ def walk(user, names, hours=1):
 
 def test_linear_process(make):
     rows = [r for u in range(3) for r in walk(f"u{u}", ["Start", "Middle", "End"])]
-    report = process_report(make(rows), min_frequency=1)
+    report = process_report(make(rows), min_frequency=1, materialise=True)
     acts = {r["event_name"]: r for r in report["activities"].collect()}
     assert set(acts) == {"Start", "Middle", "End"}
     assert acts["Start"]["is_start"] and not acts["Start"]["is_end"] and acts["End"]["is_end"]
