@@ -8,6 +8,8 @@ from pyspark.sql import types as T
 
 from stepwise.model import REQUIRED_COLUMNS
 
+VALID = "valid event table"
+BAD_TIMES = "timestamp column does not hold times"
 TIME_TYPES = (T.TimestampType, T.TimestampNTZType, T.DateType, T.StringType)
 
 
@@ -15,10 +17,10 @@ def validate_schema(df: DataFrame) -> tuple[bool, str]:
     """Check columns and types from the schema alone; no job runs."""
     missing = [c for c in REQUIRED_COLUMNS if c not in df.columns]
     if missing:
-        return False, f"Missing required columns: {', '.join(missing)}"
+        return False, f"event table lacks columns: {', '.join(missing)}"
     if not isinstance(df.schema["timestamp"].dataType, TIME_TYPES):
-        return False, "Cannot convert timestamp column to datetime"
-    return True, "Data validation successful"
+        return False, BAD_TIMES
+    return True, VALID
 
 
 def validate_events(df: DataFrame) -> tuple[bool, str]:
@@ -27,12 +29,12 @@ def validate_events(df: DataFrame) -> tuple[bool, str]:
     if not ok:
         return ok, message
     if df.select("user_id").isEmpty():
-        return False, "No data found in file"
+        return False, "event table is empty"
     if isinstance(df.schema["timestamp"].dataType, T.StringType):
         bad = df.filter(F.col("timestamp").isNotNull() & F.try_to_timestamp("timestamp").isNull())
         if not bad.isEmpty():
-            return False, "Cannot convert timestamp column to datetime"
-    return True, "Data validation successful"
+            return False, BAD_TIMES
+    return True, VALID
 
 
 def quality_counts(df: DataFrame) -> DataFrame:

@@ -29,7 +29,7 @@ def canonical(df: DataFrame, mapping: Mapping[str, Column | str] | None = None)
                          for n, c in mapping.items()])
     missing = [c for c in REQUIRED_COLUMNS if c not in df.columns]
     if missing:
-        raise ValueError(f"Missing required columns: {', '.join(missing)}")
+        raise ValueError(f"event table lacks columns: {', '.join(missing)}")
     wanted = {f.name: f.dataType for f in EVENT_SCHEMA}
     columns = []
     for field in df.schema.fields:
@@ -79,7 +79,7 @@ def read_events(spark: SparkSession, path: str, **options) -> DataFrame:
         return read_csv(spark, path, **options)
     if lowered.endswith(".parquet"):
         return read_parquet(spark, path, **options)
-    raise ValueError("Unsupported file format. Please use CSV or Parquet files.")
+    raise ValueError(f"unsupported event file, expected .csv or .parquet: {path!r}")
 
 
 def warehouse_options(
