@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from stepwise.model import ALL_USERS, FunnelConfig
 from stepwise.operators import cohort, convert, funnel, mining, paths, stats
-from stepwise.operators.events import segment_label, segment_names, timed
+from stepwise.operators.events import in_segment, segment_names, timed
 from stepwise.plans.lineage import materialised
 from stepwise.plans.skew import resolve
 from stepwise.sources.readers import valid_users
@@ -39,7 +39,7 @@ def funnel_report(
     report = {"funnel": table, "kpis": funnel.funnel_kpis(table)}
     names = segment_names(cfg) if cfg.segmented else [ALL_USERS]
     if len(names) == 1:
-        chosen = segment_label(cfg).isNotNull() if cfg.segmented else None
+        chosen = in_segment(cfg) if cfg.segmented else None
         history = events
         if chosen is not None:
             # Full history of the users that have an event in the segment.
