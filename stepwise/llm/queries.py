@@ -2,14 +2,34 @@
 
 from __future__ import annotations
 
-from stepwise.llm import near_dup
+import public_tokenizers
+
+from stepwise.llm import language, near_dup, packing, token_blocks
 from stepwise.llm.shared import table
 
+TOKENIZER = "word_bpe_49k.json"
+
+
+def op1_language_id(spark, sf_dir):
+    return language.identify(table(spark, sf_dir, "documents"))
+
 
 def op2_near_dup(spark, sf_dir):
     return near_dup.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op6_packing(spark, sf_dir):
+    return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path(TOKENIZER))
+
+
+def op7_token_blocks(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    return token_blocks.token_files(docs, public_tokenizers.path(TOKENIZER))
+
+
 QUERIES: dict[str, tuple] = {
+    "op1_language_id": (op1_language_id, None),
     "op2_near_dup": (op2_near_dup, None),
+    "op6_packing": (op6_packing, None),
+    "op7_token_blocks": (op7_token_blocks, None),
 }
