@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from stepwise.llm import language, near_dup, packing, token_blocks
+from stepwise.llm import language, near_dup, packing, quality, token_blocks, toxicity
 from stepwise.llm.shared import table
 
 TOKENIZER = "word_bpe_49k.json"
@@ -18,6 +18,10 @@ def op2_near_dup(spark, sf_dir):
     return near_dup.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op4_quality(spark, sf_dir):
+    return quality.rank(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op6_packing(spark, sf_dir):
     return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path(TOKENIZER))
 
@@ -27,9 +31,15 @@ def op7_token_blocks(spark, sf_dir):
     return token_blocks.token_files(docs, public_tokenizers.path(TOKENIZER))
 
 
+def op9_toxicity(spark, sf_dir):
+    return toxicity.detect(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 QUERIES: dict[str, tuple] = {
     "op1_language_id": (op1_language_id, None),
     "op2_near_dup": (op2_near_dup, None),
+    "op4_quality": (op4_quality, None),
     "op6_packing": (op6_packing, None),
     "op7_token_blocks": (op7_token_blocks, None),
+    "op9_toxicity": (op9_toxicity, None),
 }
