@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from stepwise.llm import language, near_dup, packing, quality, token_blocks, toxicity
+from stepwise.llm import language, mixing, near_dup, packing, quality, token_blocks, toxicity
 from stepwise.llm.shared import table
 
 TOKENIZER = "word_bpe_49k.json"
@@ -31,6 +31,10 @@ def op7_token_blocks(spark, sf_dir):
     return token_blocks.token_files(docs, public_tokenizers.path(TOKENIZER))
 
 
+def op8_mixing(spark, sf_dir):
+    return mixing.mix(table(spark, sf_dir, "documents"))
+
+
 def op9_toxicity(spark, sf_dir):
     return toxicity.detect(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -41,5 +45,6 @@ QUERIES: dict[str, tuple] = {
     "op4_quality": (op4_quality, None),
     "op6_packing": (op6_packing, None),
     "op7_token_blocks": (op7_token_blocks, None),
+    "op8_mixing": (op8_mixing, None),
     "op9_toxicity": (op9_toxicity, None),
 }
