@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from stepwise.llm import language, mixing, near_dup, packing, quality, token_blocks, toxicity
+from stepwise.llm import fingerprint, language, mixing, near_dup, packing, quality, token_blocks, toxicity
 from stepwise.llm.shared import table
 
 TOKENIZER = "word_bpe_49k.json"
@@ -18,6 +18,10 @@ def op2_near_dup(spark, sf_dir):
     return near_dup.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op3_fingerprint(spark, sf_dir):
+    return fingerprint.fingerprints(table(spark, sf_dir, "documents"))
+
+
 def op4_quality(spark, sf_dir):
     return quality.rank(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -42,6 +46,7 @@ def op9_toxicity(spark, sf_dir):
 QUERIES: dict[str, tuple] = {
     "op1_language_id": (op1_language_id, None),
     "op2_near_dup": (op2_near_dup, None),
+    "op3_fingerprint": (op3_fingerprint, None),
     "op4_quality": (op4_quality, None),
     "op6_packing": (op6_packing, None),
     "op7_token_blocks": (op7_token_blocks, None),
