@@ -2,8 +2,8 @@
 
 A text is cut into words and these into bits of at most four characters; a k-mer is ``KMER``
 neighbouring bits.  Equal k-mers of a text are numbered in their order, so that repeats count.
-One hash function orders k-mers, then their numbers; the ``KEPT`` smallest are selected and put
-back into the order in which they stand in the text.  Each two neighbours of that sequence are
+One hash function orders the numbered k-mers; the ``KEPT`` smallest are selected and put back
+into the order in which they stand in the text.  Each two neighbours of that sequence are
 hashed into one entry of the signature.  Moved, inserted or deleted passages change the order or
 the neighbours, so the share of common entries falls with the edit distance, not only with the
 set of words.
@@ -17,10 +17,12 @@ from pyspark.sql.window import Window
 
 from stepwise.llm.shared import saved
 
-KMER = 3
+KMER = 2
 KEPT = 64
 # Places in a text that a k-mer's number can hold; beyond, order is modulo this.
 _PLACES = (1 << 24) - 1
+# Steps of a search among up to 2 ** 24 equal k-mers.
+_STEPS = [1 << b for b in range(23, -1, -1)]
 _BITS = r"[^\x20\x09-\x0D]{1,4}"
 
 
@@ -29,8 +31,9 @@ def with_signature(df: DataFrame, text: str, out: str) -> DataFrame:
 
     The steps are columns of their own: an array that several lambdas read is computed once.
     """
-    bits, low, codes = f"_{out}_bits", f"_{out}_low", f"_{out}_codes"
+    bits, sorted_, low = f"_{out}_bits", f"_{out}_sorted", f"_{out}_low"
     rest = F.lit(~_PLACES)
+    # Hash above, place below: equal k-mers are neighbours, in the order of the text.
     kmers = F.transform(
         F.sequence(F.lit(0), F.greatest(F.size(bits) - KMER, F.lit(0))),
         lambda i: F.xxhash64(F.slice(bits, i + 1, KMER))
@@ -38,10 +41,19 @@ def with_signature(df: DataFrame, text: str, out: str) -> DataFrame:
         .bitwiseOR(i.cast("long").bitwiseAND(F.lit(_PLACES))),
     )
     nothing = F.array().cast("array<long>")
-    hashes = F.transform(low, lambda x: x.bitwiseAND(rest))
-    number = lambda h, i: F.when(
-        (i > 0) & (F.get(codes, i - 1) == h), i + 1 - F.array_position(codes, h)
-    ).otherwise(F.lit(0))
+    same = lambda x, i: F.get(sorted_, i).bitwiseXOR(x).bitwiseAND(rest) == 0
+
+    def numbered(x: Column, i: Column) -> Column:
+        # How many equal ones stand before: the longest step back that stays among them.
+        number = F.aggregate(
+            F.lit(_STEPS).cast("array<int>"),
+            F.lit(0),
+            lambda back, step: F.when((i >= back + step) & same(x, i - back - step), back + step).otherwise(back),
+        )
+        again = F.xxhash64(x.bitwiseAND(rest), number).bitwiseAND(rest)
+        place = x.bitwiseAND(F.lit(_PLACES))
+        return F.when((i > 0) & same(x, i - 1), again.bitwiseOR(place)).otherwise(x)
+
     places = F.sort_array(
         F.transform(
             low,
@@ -55,20 +67,20 @@ def with_signature(df: DataFrame, text: str, out: str) -> DataFrame:
     )
     return (
         df.withColumn(bits, F.regexp_extract_all(text, F.lit(_BITS), F.lit(0)))
-        .withColumn(low, F.when(F.size(bits) == 0, nothing).otherwise(F.slice(F.sort_array(kmers), 1, KEPT)))
+        .withColumn(sorted_, F.when(F.size(bits) == 0, nothing).otherwise(F.sort_array(kmers)))
         .drop(bits)
-        .withColumn(codes, hashes)
-        .withColumn(f"_{out}_numbered", F.transform(codes, lambda h, i: F.xxhash64(h, number(h, i))))
+        .withColumn(low, F.slice(F.sort_array(F.transform(sorted_, numbered)), 1, KEPT))
+        .drop(sorted_)
         .withColumn(f"_{out}_places", places)
         .withColumn(
             in_order,
             F.transform(
                 f"_{out}_places",
-                lambda p: F.get(f"_{out}_numbered", p.bitwiseAND(F.lit(255)).cast("int")),
+                lambda p: F.get(low, p.bitwiseAND(F.lit(255)).cast("int")).bitwiseAND(rest),
             ),
         )
         .withColumn(out, F.when(F.size(in_order) == 0, nothing).otherwise(pairs))
-        .drop(low, codes, f"_{out}_numbered", f"_{out}_places", in_order)
+        .drop(low, f"_{out}_places", in_order)
     )
 
 
