@@ -30,8 +30,8 @@ TEXTS = 400
 # Contexts that a model keeps, the most frequent first: states x bytes x languages.
 CELLS = 1 << 24
 UNDETERMINED = "und"
-# A best code longer than the raw text means that no learned language fits.
-RAW_BITS = 8.0
+# A best code well beyond the 8 bits of a raw byte means that no learned language fits.
+RAW_BITS = 10.0
 FOLDS = 5
 _BLOCK = 1 << 19
 _LETTERS = np.zeros(256, bool)
