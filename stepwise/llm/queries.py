@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from stepwise.llm import fingerprint, language, mixing, near_dup, packing, quality, token_blocks, toxicity
+from stepwise.llm import fingerprint, language, mixing, near_dup, neighbours, packing, quality, token_blocks, toxicity
 from stepwise.llm.shared import table
 
 TOKENIZER = "word_bpe_49k.json"
@@ -43,6 +43,11 @@ def op9_toxicity(spark, sf_dir):
     return toxicity.detect(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op10_neighbours(spark, sf_dir):
+    vectors = table(spark, sf_dir, "embeddings")
+    return neighbours.search(vectors, vectors.where("vec_id % 20 = 0"))
+
+
 QUERIES: dict[str, tuple] = {
     "op1_language_id": (op1_language_id, None),
     "op2_near_dup": (op2_near_dup, None),
@@ -52,4 +57,5 @@ QUERIES: dict[str, tuple] = {
     "op7_token_blocks": (op7_token_blocks, None),
     "op8_mixing": (op8_mixing, None),
     "op9_toxicity": (op9_toxicity, None),
+    "op10_neighbours": (op10_neighbours, None),
 }
