@@ -40,6 +40,8 @@ NUMERATOR, DENOMINATOR = 75, 100
 K = 64
 HEAVY = 24
 SALTS = 16
+# Size of the bitmap of documents whose full sets are needed: 2 MB of bits.
+BITS = 1 << 24
 # Smallest share of light values for which the light path alone is enough.
 LIGHT_SHARE = 0.6
 # Smallest overlap of two sketches, as a share of the light values of the poorer one.
@@ -170,23 +172,56 @@ def _differences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             )
 
 
-def _with_sets(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """pairs(a, b) with both full sets.  The sets of b, of which a few may be in very many
-    pairs, are dealt over salts."""
-    salted = sets.select(
-        F.col("doc_id").alias("b"),
-        F.col("set").alias("set_b"),
-        F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"),
+def _with_sets(pairs: DataFrame, sets: DataFrame, salts: int = 1) -> DataFrame:
+    """pairs(a, b) with both full sets.  Where few b are in very many pairs, their sets are
+    dealt over salts."""
+    right = sets.select(F.col("doc_id").alias("b"), F.col("set").alias("set_b"))
+    left, key = pairs, ["b"]
+    if salts > 1:
+        chosen = pairs.select("b").distinct()
+        right = right.join(chosen, "b", "left_semi").withColumn(
+            "salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))
+        )
+        left = left.withColumn("salt", F.pmod(F.xxhash64("a"), F.lit(salts)).cast("int"))
+        key = ["b", "salt"]
+    return (
+        left.join(right, key)
+        .join(sets.select(F.col("doc_id").alias("a"), F.col("set").alias("set_a")), "a")
+        .select("a", "b", "set_a", "set_b")
+    )
+
+
+def _bitmap(ids: DataFrame) -> np.ndarray:
+    """Bits of the hashes of ids, of one size whatever their number."""
+    place = F.pmod(F.xxhash64("doc_id"), F.lit(BITS))
+    words = (
+        ids.select(place.alias("place"))
+        .groupBy(F.shiftright("place", 5).alias("word"))
+        .agg(F.expr("bit_or(shiftleft(1L, cast(place % 32 as int)))").alias("bits"))
+        .toArrow()
     )
-    left = pairs.withColumn("salt", F.pmod(F.xxhash64("a"), F.lit(SALTS)).cast("int"))
-    return left.join(salted, ["b", "salt"]).join(
-        sets.select(F.col("doc_id").alias("a"), F.col("set").alias("set_a")), "a"
-    ).select("a", "b", "set_a", "set_b")
+    bits = np.zeros(BITS // 32, np.int64)
+    bits[words.column("word").to_numpy()] = words.column("bits").to_numpy()
+    return bits
 
 
 def _sets_of(docs: DataFrame, pairs: DataFrame) -> DataFrame:
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    chosen = docs.select(F.col("doc_id").cast("long"), "text").join(ids, "doc_id", "left_semi")
+    """Full sets of the documents of pairs.  Most other texts are left out by a bitmap before
+    any text moves; the join with the ids settles the rest."""
+    ids = saved(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct())
+    shared = docs.sparkSession.sparkContext.broadcast(_bitmap(ids))
+
+    def likely(batches):
+        for batch in batches:
+            place = batch.column("place").to_numpy()
+            chosen = (shared.value[place >> 5] >> (place & 31)) & 1
+            yield batch.drop_columns(["place"]).filter(pa.array(chosen > 0))
+
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where(
+        "doc_id is not null"
+    )
+    marked = texts.withColumn("place", F.pmod(F.xxhash64("doc_id"), F.lit(BITS)))
+    chosen = marked.mapInArrow(likely, texts.schema).join(ids, "doc_id", "left_semi")
     return chosen.mapInArrow(_full_sets, "doc_id long, set binary")
 
 
@@ -304,12 +339,18 @@ def _links(docs: DataFrame, rows: DataFrame) -> DataFrame:
     key = ["n", "sum", "xor"]
     smallest = saved(with_words.groupBy(*key).agg(F.min("doc_id").alias("id")))
     copies = with_words.select("doc_id", *key).join(smallest, key).where("doc_id <> id")
-    classes = with_words.join(
-        smallest.select(*key, F.col("id").alias("doc_id")), [*key, "doc_id"], "left_semi"
-    ).withColumnRenamed("doc_id", "id").dropDuplicates(["id", *key])
-    values = classes.select("id", "n", F.size("sketch").alias("retained"), F.explode("sketch").alias("v"))
+    classes = saved(
+        with_words.join(
+            smallest.select(*key, F.col("id").alias("doc_id")), [*key, "doc_id"], "left_semi"
+        )
+        .dropDuplicates(["doc_id", *key])
+        .select(F.col("doc_id").alias("id"), "n", "sketch")
+    )
+    values = classes.select("id", F.explode("sketch").alias("v"))
     lists = values.groupBy("v").agg(F.count("*").alias("lists")).where("lists > 1")
-    held = values.join(lists, "v")
+    held = values.join(lists, "v").join(
+        classes.select("id", "n", F.size("sketch").alias("retained")), "id"
+    )
     light = F.col("retained") - F.count(F.when(F.col("lists") > HEAVY, 1)).over(_of_class())
     typical = F.sum(F.when(F.col("lists") > HEAVY, F.log("lists")).otherwise(0.0)).over(_of_class())
     postings = saved(
@@ -320,7 +361,7 @@ def _links(docs: DataFrame, rows: DataFrame) -> DataFrame:
     sets = saved(_sets_of(docs, near.union(pivots)))
     schema = "a long, b long, n_a long, n_b long, shared long"
     decided = [_with_sets(near, sets).mapInArrow(_compare, schema)]
-    apart = _with_sets(pivots, sets).mapInArrow(
+    apart = _with_sets(pivots, sets, SALTS).mapInArrow(
         _differences, "a long, b long, n_a long, n_b long, apart array<long>"
     )
     shared = (F.col("n_a") + F.col("n_b") - F.size("apart")) / 2

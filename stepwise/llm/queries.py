@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from stepwise.llm import fingerprint, language, mixing, near_dup, neighbours, packing, quality, token_blocks, toxicity
+from stepwise.llm import chat, fingerprint, language, mixing, near_dup, neighbours, packing, quality, token_blocks, toxicity
 from stepwise.llm.shared import table
 
 TOKENIZER = "word_bpe_49k.json"
@@ -26,6 +26,10 @@ def op4_quality(spark, sf_dir):
     return quality.rank(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op5_chat(spark, sf_dir):
+    return chat.link(table(spark, sf_dir, "conversations"))
+
+
 def op6_packing(spark, sf_dir):
     return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path(TOKENIZER))
 
@@ -53,6 +57,7 @@ QUERIES: dict[str, tuple] = {
     "op2_near_dup": (op2_near_dup, None),
     "op3_fingerprint": (op3_fingerprint, None),
     "op4_quality": (op4_quality, None),
+    "op5_chat": (op5_chat, None),
     "op6_packing": (op6_packing, None),
     "op7_token_blocks": (op7_token_blocks, None),
     "op8_mixing": (op8_mixing, None),
