@@ -132,14 +132,14 @@ def build(langs: list[str], counts: list[tuple[int, int, int, int]], order: int
     step[:, 0] = 0
     step[:, unseen] = 0
     cost[:, 0] = 0
-    return Model(langs, width, codes, step.reshape(-1), cost.reshape(-1, len(langs)))
+    return Model(langs, width, codes, step.reshape(-1), cost.reshape(states * width, len(langs)))
 
 
 def code_lengths(model: Model, texts: pa.Array, order: int = ORDER) -> np.ndarray:
     """Bits of each text under each language's model."""
     data, offsets = text_bytes(texts)
     out = np.zeros((len(texts), len(model.langs)))
-    if not len(texts):
+    if not len(texts) or not model.langs:
         return out
     low = int(offsets[0])
     codes = np.zeros(int(offsets[-1]) - low + len(texts), np.uint8)

@@ -205,7 +205,7 @@ def fit(texts: pa.Array, toxic_text: np.ndarray) -> Model:
     Of near copies one is used: words of a text that was copied often prove nothing.
     """
     single = distinct_texts(texts)
-    texts, toxic_text = texts.take(pa.array(single)), toxic_text[single]
+    texts, toxic_text = texts.take(pa.array(single, pa.int64())), toxic_text[single]
     found = tokens(texts)
     labels = token_labels(found, toxic_text)
     chain = np.zeros(len(labels), np.int64)
@@ -241,6 +241,10 @@ def fit(texts: pa.Array, toxic_text: np.ndarray) -> Model:
     weights[used] = active
     model = Model(weights.astype(np.float32), float(bias), moves, np.zeros(3))
     toxic = model.marginals(found) if len(labels) else np.zeros(0)
+    if not toxic_text.any():
+        # Without an example nothing is toxic.
+        model.calibration = np.array([-3.0, 0.0, 0.0])
+        return model
     model.calibration = _logistic(document_features(toxic, found.texts, len(toxic_text)), toxic_text)
     return model
 
