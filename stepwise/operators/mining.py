@@ -33,11 +33,9 @@ from stepwise.plans.skew import cut, resolve
 
 MIN_FREQUENCY = 10
 TOP_VARIANTS = 20
-SPELL_LIMIT = 100_000
 TOP_TWO_STEP = 5
 TOP_THREE_STEP = 3
 TOP_CYCLES = 10
-THREE_STEP_LIMIT = 50
 MAX_CYCLE = 5
 START_END_SHARE = 0.05
 ARROW = " → "
@@ -59,7 +57,7 @@ def event_log(
             newest = rows.agg(F.max("us").alias("m")).scalar()
         else:
             newest = F.unix_micros(F.lit(as_of).cast("timestamp"))
-        rows = rows.filter(F.col("us") >= newest - span)
+        rows = rows.filter(F.col("us").between(newest - span, newest))
     if filter_events is not None:
         rows = rows.filter(F.col("event_name").isin(*filter_events))
     return rows
@@ -238,18 +236,17 @@ def variant_steps(walks: DataFrame) -> DataFrame:
     )
 
 
-def variants(walks: DataFrame, spell_limit: int = SPELL_LIMIT) -> DataFrame:
-    """Paths followed by at least a tenth of the users (at least one), top 20.
+def variants(walks: DataFrame, limit: int | None = TOP_VARIANTS) -> DataFrame:
+    """Paths followed by at least a tenth of the users (at least one), the most frequent first.
 
-    Only the surviving paths are spelled out, each from one user that followed it.  A path
-    of more than ``spell_limit`` events is not gathered into a row: its ``path`` is null,
-    and ``variant_steps`` gives it in full under the same ``example_user``.
+    Only the surviving paths, fewer than twenty, are spelled out, each from one user that
+    followed it.  ``variant_steps`` gives them in long form, for journeys too long for a text.
     """
     kept = _variant_groups(walks)
-    short = F.broadcast(kept.filter(F.col("length") <= spell_limit).select("user_id"))
+    # A tenth of the users each: fewer than twenty variants to broadcast.
     spelled = (
         walks.select("user_id", "pos", "event_name")
-        .join(short, "user_id")
+        .join(F.broadcast(kept.select("user_id")), "user_id")
         .groupBy("user_id")
         .agg(F.array_sort(F.collect_list(F.struct("pos", "event_name"))).alias("steps"))
         .select(
@@ -257,7 +254,7 @@ def variants(walks: DataFrame, spell_limit: int = SPELL_LIMIT) -> DataFrame:
             F.array_join(F.transform("steps", lambda s: s["event_name"]), ARROW).alias("path"),
         )
     )
-    return (
+    ranked = (
         kept.join(spelled, "user_id", "left")
         .select(
             "path",
@@ -268,8 +265,8 @@ def variants(walks: DataFrame, spell_limit: int = SPELL_LIMIT) -> DataFrame:
             F.col("user_id").alias("example_user"),
         )
         .orderBy(F.col("frequency").desc(), "path")
-        .limit(TOP_VARIANTS)
     )
+    return ranked if limit is None else ranked.limit(limit)
 
 
 def journey_success(walks: DataFrame) -> DataFrame:
@@ -338,10 +335,16 @@ def _top(cycles: DataFrame, limit: int) -> DataFrame:
     return cycles.orderBy(F.col("frequency").desc(), F.array_join("path", ARROW)).limit(limit)
 
 
-def three_step_cycles(edges: DataFrame, limit: int | None = TOP_THREE_STEP) -> DataFrame:
-    """A → B → C → A, all different; only for graphs of fewer than 50 transitions."""
-    size = edges.agg(F.count(F.lit(1)).alias("n")).scalar()
-    small = edges.filter(size < THREE_STEP_LIMIT).filter(F.col("source") != F.col("target"))
+def three_step_cycles(
+    edges: DataFrame, limit: int | None = TOP_THREE_STEP, *, max_edges: int | None = None
+) -> DataFrame:
+    """A → B → C → A, all different.
+
+    ``max_edges`` leaves graphs of as many transitions or more without three-step cycles.
+    """
+    small = edges.filter(F.col("source") != F.col("target"))
+    if max_edges is not None:
+        small = small.filter(edges.agg(F.count(F.lit(1)).alias("n")).scalar() < max_edges)
 
     def named(a: str, b: str, f: str) -> DataFrame:
         return small.select(
@@ -381,9 +384,8 @@ def _span_hours(log: DataFrame, cycles: DataFrame) -> DataFrame:
         F.array_join("path", ARROW).alias("cycle"),
         F.explode(F.array(F.col("path")[0], F.element_at("path", -1))).alias("event_name"),
     )
-    # Two rows for each of the few listed cycles.
     return (
-        per_user.join(F.broadcast(ends), "event_name")
+        per_user.join(ends, "event_name")
         .groupBy("cycle", "user_id")
         .agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"))
         .filter(F.col("lo") != F.col("hi"))
@@ -392,18 +394,28 @@ def _span_hours(log: DataFrame, cycles: DataFrame) -> DataFrame:
     )
 
 
-def cycles(log: DataFrame, edges: DataFrame, *, slices="auto", limit: int = TOP_CYCLES) -> DataFrame:
+def cycles(
+    log: DataFrame,
+    edges: DataFrame,
+    *,
+    slices="auto",
+    limit: int | None = TOP_CYCLES,
+    two_step: int | None = TOP_TWO_STEP,
+    three_step: int | None = TOP_THREE_STEP,
+) -> DataFrame:
     """Self-loops, two-step and three-step cycles by frequency, with their mean time.
 
-    Three-step cycles carry a time of zero.
+    Of each kind the most frequent are ranked together; no limit means all.  Three-step cycles
+    carry a time of zero.
     """
     loops = self_loops(edges)
-    twos = two_step_cycles(edges)
-    threes = three_step_cycles(edges)
+    twos = two_step_cycles(edges, two_step)
+    threes = three_step_cycles(edges, three_step)
     ranked = loops.unionByName(twos).unionByName(threes).withColumn(
         "cycle", F.array_join("path", ARROW)
     )
-    ranked = ranked.orderBy(F.col("frequency").desc(), "cycle").limit(limit)
+    if limit is not None:
+        ranked = ranked.orderBy(F.col("frequency").desc(), "cycle").limit(limit)
     again = recurrence_hours(log, slices=slices).select(
         F.col("event_name").alias("cycle"), F.col("avg_cycle_time").alias("loop_time")
     )
@@ -591,11 +603,10 @@ def main_path(acts: DataFrame, edges: DataFrame) -> DataFrame:
 
     Start: a source without incoming transitions, else the most frequent activity; ties go
     to the alphabetically first name.  The walk ends at a repeat, so it has one row per
-    activity at most.  The best edge of each activity is written once, so that the steps of
-    the recursion do not go back to the events.
+    activity at most.  Every activity has one best successor; a round doubles the distance that
+    is looked ahead, so a path of n activities takes log2(n) rounds.
     """
-    spark = acts.sparkSession
-    best = materialised(
+    jump = materialised(
         edges.groupBy(F.col("source").alias("node")).agg(
             F.min(F.struct(-F.col("frequency"), F.col("target")))["target"].alias("next_node")
         )
@@ -606,21 +617,28 @@ def main_path(acts: DataFrame, edges: DataFrame) -> DataFrame:
     busiest = acts.agg(
         F.min(F.struct(-F.col("frequency"), F.col("event_name")))["event_name"].alias("node")
     )
-    start = materialised(busiest.select(F.coalesce(entry, F.col("node")).alias("node")))
-    return spark.sql(
-        """
-        WITH RECURSIVE walk(activity, position, visited) AS (
-            SELECT node, 0, array(node) FROM {start} WHERE node IS NOT NULL
-            UNION ALL
-            SELECT b.next_node, w.position + 1, array_append(w.visited, b.next_node)
-            FROM walk w JOIN {best} b ON b.node = w.activity
-            WHERE NOT array_contains(w.visited, b.next_node)
-        )
-        SELECT position, activity FROM walk
-        """,
-        start=start,
-        best=best,
+    reached = materialised(
+        busiest.select(F.coalesce(entry, F.col("node")).alias("node"), F.lit(0).alias("position"))
+        .filter(F.col("node").isNotNull())
     )
+    activities, distance = jump.count() + 1, 1
+    while distance < activities:
+        ahead = reached.join(jump, "node").select(
+            F.col("next_node").alias("node"), (F.col("position") + distance).alias("position")
+        )
+        # The first visit counts.
+        reached = materialised(
+            reached.union(ahead).groupBy("node").agg(F.min("position").alias("position"))
+        )
+        distance *= 2
+        if distance < activities:
+            further = jump.select(
+                F.col("node").alias("next_node"), F.col("next_node").alias("_further")
+            )
+            jump = materialised(
+                jump.join(further, "next_node").select("node", F.col("_further").alias("next_node"))
+            )
+    return reached.select("position", F.col("node").alias("activity"))
 
 
 def main_path_dropout(path: DataFrame, acts: DataFrame) -> DataFrame:

@@ -190,16 +190,46 @@ def test_main_path(make):
     assert [r["dropout_rate"] for r in loss] == [0, 25, 0]
 
 
-def test_long_variants_are_not_gathered(make):
-    rows = [r for u in range(2) for r in walk(f"u{u}", ["A", "B", "C", "D"])]
+def test_long_variants_are_spelled(make):
+    rows = [r for u in range(2) for r in walk(f"u{u}", ["A", "B", "C", "D"] * 60)]
     rows += walk("v", ["A", "B"])
     walks = mining.journeys(mining.event_log(make(rows)))
-    found = {r["example_user"]: r for r in mining.variants(walks, spell_limit=3).collect()}
-    assert {u: (r["path"], r["frequency"]) for u, r in found.items()} == {
-        "u0": (None, 2), "v": ("A → B", 1),
+    found = {r["example_user"]: r for r in mining.variants(walks, None).collect()}
+    assert {u: (len(r["path"].split(" → ")), r["frequency"]) for u, r in found.items()} == {
+        "u0": (240, 2), "v": (2, 1),
     }
     steps = mining.variant_steps(walks).filter("example_user = 'u0'").orderBy("position")
-    assert [r["event_name"] for r in steps.collect()] == ["A", "B", "C", "D"]
+    assert [r["event_name"] for r in steps.collect()] == ["A", "B", "C", "D"] * 60
+
+
+def test_main_path_of_any_length(make):
+    rows = walk("u", [f"step {i:03}" for i in range(500)])
+    walks = mining.journeys(mining.event_log(make(rows)))
+    path = mining.main_path(mining.activities(walks), mining.transitions(walks, 1))
+    assert [r["activity"] for r in path.orderBy("position").collect()] == [
+        f"step {i:03}" for i in range(500)
+    ]
+
+
+def test_cycles_of_large_graphs(make):
+    rows = []
+    for u in range(3):
+        rows += walk(f"u{u}", ["A", "B", "C", "A"] + [f"n{i}" for i in range(60)])
+    log = mining.event_log(make(rows))
+    edges = mining.transitions(mining.journeys(log), 1)
+    threes = mining.three_step_cycles(edges, None)
+    assert {tuple(r["path"]) for r in threes.collect()} == {
+        ("A", "B", "C"), ("B", "C", "A"), ("C", "A", "B"),
+    }
+    assert mining.three_step_cycles(edges, None, max_edges=50).count() == 0
+    everything = mining.cycles(log, edges, limit=None, two_step=None, three_step=None)
+    assert everything.count() == 3
+
+
+def test_log_ends_at_as_of(make):
+    rows = [("u", "A", m) for m in (0, 60, 120, 180)]
+    log = mining.event_log(make(rows), time_window_hours=1, as_of=BASE + timedelta(minutes=120))
+    assert log.count() == 2
 
 
 def test_report_without_cycles(make):

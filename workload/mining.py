@@ -58,7 +58,8 @@ QUERIES["h1_log_last_hours"] = (
 )
 QUERIES["h1_log_as_of"] = (
     _log(time_window_hours=48, as_of=datetime(2024, 1, 20)),
-    sk.query(sk.EV, select=f"{_LOG} WHERE timestamp >= TIMESTAMP '2024-01-18'"),
+    sk.query(sk.EV, select=f"""{_LOG} WHERE timestamp BETWEEN TIMESTAMP '2024-01-18'
+        AND TIMESTAMP '2024-01-20'"""),
 )
 _JOURNEYS = """SELECT user_id, event_name, timestamp, pos AS event_order,
     round(hours, 6) AS duration_to_next, is_start, is_end FROM wk"""
@@ -229,8 +230,7 @@ c3all AS (SELECT a.source || ' → ' || b.source || ' → ' || c.source AS cycle
         least(a.frequency, b.frequency, c.frequency) AS frequency
     FROM edge a JOIN edge b ON b.source = a.target JOIN edge c ON c.source = b.target
      AND c.target = a.source
-    WHERE a.source <> b.source AND b.source <> c.source AND c.source <> a.source
-      AND (SELECT count(*) FROM edge) < 50),
+    WHERE a.source <> b.source AND b.source <> c.source AND c.source <> a.source),
 c3 AS (SELECT * FROM c3all ORDER BY frequency DESC, cycle LIMIT 3),
 cyc AS (SELECT cycle, length, frequency, type, impact, first_event, last_event FROM c1
     UNION ALL SELECT cycle, 2, frequency, 'cycle',
