@@ -106,9 +106,10 @@ def destination_label(name: Column | str) -> Column:
 
 
 def destination_category(name: Column | str) -> Column:
+    """Category of the whole name, not of its shortened label."""
     raw = F.col(name) if isinstance(name, str) else name
     return F.when(raw.isNull() | (raw == ""), "other").otherwise(
-        first_match(destination_label(name), DESTINATION_CATEGORIES, "other")
+        first_match(raw, DESTINATION_CATEGORIES, "other")
     )
 
 

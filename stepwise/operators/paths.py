@@ -410,7 +410,11 @@ def path_summary(
 
 
 def path_flow(summary: DataFrame, steps: Sequence[str]) -> DataFrame:
-    """Links of the path diagram: conversions, the top destinations, and the remainder."""
+    """Links of the path diagram: conversions, the top destinations, and the remainder.
+
+    ``summary`` must be complete (``top=None``), so that the links of a step add up to all its
+    dropped users.  Targets are whole names; ``label`` is what a diagram has room for.
+    """
     names = {f"{s} → {t}": (s, t) for s, t in zip(steps, steps[1:])}
     source, target = F, F
     for name, (s, t) in names.items():
@@ -420,8 +424,8 @@ def path_flow(summary: DataFrame, steps: Sequence[str]) -> DataFrame:
         summary.filter(F.col("kind") == "between")
         .groupBy("subject")
         .agg(F.sum("n").alias("value"))
-        .select(source.alias("source"), target.alias("target"), F.lit("conversion").alias("kind"),
-                "value")
+        .select(source.alias("source"), target.alias("target"), target.alias("label"),
+                F.lit("conversion").alias("kind"), "value")
     )
     order = Window.partitionBy("subject").orderBy(F.col("n").desc(), F.col("event"))
     is_top = F.col("rank") <= FLOW_EVENTS
@@ -432,11 +436,12 @@ def path_flow(summary: DataFrame, steps: Sequence[str]) -> DataFrame:
         .withColumn("rank", F.row_number().over(order))
         .select(
             F.col("subject").alias("source"),
-            F.when(is_top, destination_label("event")).otherwise(other).alias("target"),
+            F.when(is_top, F.col("event")).otherwise(other).alias("target"),
+            F.when(is_top, destination_label("event")).otherwise(other).alias("label"),
             F.concat(F.lit("dropoff_"), F.when(is_top, kind).otherwise("other")).alias("kind"),
             "n",
         )
-        .groupBy("source", "target", "kind")
+        .groupBy("source", "target", "label", "kind")
         .agg(F.sum("n").alias("value"))
     )
     return conversions.unionByName(drops)

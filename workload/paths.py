@@ -158,7 +158,7 @@ QUERIES["g9_between_reentry_orders"] = (
 )
 
 
-def _summary_ctes(hours, horizon):
+def _summary_ctes(hours, horizon, top=10):
     return [
         sk.OD,
         _dropped(ORDER_STEPS),
@@ -166,9 +166,9 @@ def _summary_ctes(hours, horizon):
         _pair_sql("first", hours, ORDER_STEPS),
         _between(ORDER_STEPS),
         f"""summ AS (SELECT 'dropoff' AS kind, step AS subject, event, n
-                FROM {_top('dest', 'step', 10)}
+                FROM {_top('dest', 'step', top)}
             UNION ALL SELECT 'between', step_pair, event, n
-                FROM {_top('btw', 'step_pair', 10)})""",
+                FROM {_top('btw', 'step_pair', top)})""",
     ]
 
 
@@ -188,18 +188,21 @@ _KIND = sk.first_match("event", labels.DROPOFF_KINDS, "'neutral'")
 QUERIES["g11_path_flow"] = (
     _run(
         paths.path_summary, cfg(YEAR), ORDER_STEPS, orders,
-        finish=lambda t: paths.path_flow(t, ORDER_STEPS),
+        finish=lambda t: paths.path_flow(t, ORDER_STEPS), top=None,
     ),
     sk.query(
-        *_summary_ctes(YEAR, 168),
+        *_summary_ctes(YEAR, 168, "(SELECT count(*) + 1 FROM ev)"),
         f"""rk AS (SELECT s.*, (SELECT count(*) FROM summ b WHERE b.kind = 'dropoff'
                 AND b.subject = s.subject AND (b.n > s.n OR (b.n = s.n AND b.event < s.event)))
                 < 8 AS is_top FROM summ s WHERE kind = 'dropoff')""",
         select=f"""SELECT split_part(subject, ' → ', 1) AS source,
-            split_part(subject, ' → ', 2) AS target, 'conversion' AS kind,
+            split_part(subject, ' → ', 2) AS target, split_part(subject, ' → ', 2) AS label,
+            'conversion' AS kind,
             CAST(sum(n) AS BIGINT) AS value FROM summ WHERE kind = 'between' GROUP BY subject
         UNION ALL
-        SELECT subject, CASE WHEN is_top THEN {_label('event')}
+        SELECT subject, CASE WHEN is_top THEN event
+                ELSE 'Other destinations from ' || subject END,
+            CASE WHEN is_top THEN {_label('event')}
                 ELSE 'Other destinations from ' || subject END,
             'dropoff_' || CASE WHEN is_top THEN {_KIND} ELSE 'other' END,
             CAST(sum(n) AS BIGINT) FROM rk GROUP BY ALL""",
@@ -210,7 +213,7 @@ QUERIES["b15_destination_categories"] = (
     sk.query(
         sk.OD, _dropped(ORDER_STEPS), _dest(YEAR),
         select=f"""SELECT step, event, n, {_label('event')} AS label,
-            {sk.first_match(_label('event'), labels.DESTINATION_CATEGORIES, "'other'")} AS category
+            {sk.first_match('event', labels.DESTINATION_CATEGORIES, "'other'")} AS category
         FROM {_top('dest', 'step', 10)}""",
     ),
 )
