@@ -1,20 +1,35 @@
-"""Writing a small intermediate table so that iterations do not recompute its source."""
+"""Intermediate tables in the folder that all executors and the driver share."""
 
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def materialised(df: DataFrame) -> DataFrame:
-    """The table read back from the session's checkpoint folder (``spark.checkpoint.dir``).
+def shared_root(spark: SparkSession) -> str:
+    """``spark.checkpoint.dir``.  A local folder is set only where the session names none and
+    everything runs in one process on one machine, as in tests."""
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if named is None:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        named = tempfile.mkdtemp(prefix="stepwise-shared-")
+        spark.conf.set("spark.checkpoint.dir", named)
+    return named.rstrip("/")
+
+
+def new_folder(spark: SparkSession) -> str:
+    """The name of a folder that is not there yet, under the shared one."""
+    return f"{shared_root(spark)}/stepwise-{uuid.uuid4().hex}"
 
-    The folder is shared by all executors, so the copy outlives any of them.  A local one
-    is made only where the session names none, as in tests.
-    """
+
+def materialised(df: DataFrame) -> DataFrame:
+    """The table read back from the shared folder, so that iterations and lost executors do not
+    recompute its source."""
     context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
-        named = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="stepwise-checkpoint-"))
+        context.setCheckpointDir(shared_root(df.sparkSession))
     return df.checkpoint()

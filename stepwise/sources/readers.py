@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -45,11 +45,39 @@ def canonical(df: DataFrame, mapping: Mapping[str, Column | str] | None = None)
     return df.select(*columns)
 
 
-def read_csv(spark: SparkSession, path: str, schema: str | T.StructType | None = None) -> DataFrame:
+def in_file_order(df: DataFrame) -> DataFrame:
+    """A table just read from files, with ``ord``: the place of each row in the data.
+
+    Files follow each other by path and a file's blocks by their start; the blocks, a row for
+    each in a table of metadata, are numbered, and a row adds its place in its task.  Numbers
+    grow along the data but leave gaps.
+    """
+    block = (F.col("_metadata.file_path").alias("_path"), F.col("_metadata.file_block_start").alias("_start"))
+    numbers = df.select(*block).distinct().withColumn(
+        "_block", F.row_number().over(Window.orderBy("_path", "_start")).cast("bigint") - 1
+    )
+    # The lower 33 bits of the number that grows within a task.
+    place = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
+    placed = df.select("*", *block, place.alias("_place"))
+    return (
+        placed.join(numbers, ["_path", "_start"])
+        .withColumn("ord", F.shiftleft("_block", 33).bitwiseOR(F.col("_place")))
+        .select(*df.columns, "ord")
+    )
+
+
+def read_csv(
+    spark: SparkSession,
+    path: str,
+    schema: str | T.StructType | None = None,
+    *,
+    with_order: bool = True,
+) -> DataFrame:
     """CSV with header; unreadable rows are skipped, unreadable times become null.
 
     The default schema reads every column named in the header as text, so that no
-    inference pass over the data is needed.
+    inference pass over the data is needed.  Rows are numbered in ``ord``, in data order, unless
+    the file has such a column.
     """
     # Without pruning, a row of the wrong width is dropped whichever columns are asked for.
     reader = spark.read.options(
@@ -57,18 +85,17 @@ def read_csv(spark: SparkSession, path: str, schema: str | T.StructType | None =
     )
     if schema is not None:
         reader = reader.schema(schema)
-    return canonical(reader.csv(path))
+    df = reader.csv(path)
+    if with_order and "ord" not in df.columns:
+        df = in_file_order(df)
+    return canonical(df)
 
 
 def read_parquet(spark: SparkSession, path: str, *, with_order: bool = False) -> DataFrame:
-    """Parquet; ``with_order`` derives ``ord`` from the row's place in its file.
-
-    The order of files is not part of the number, so it is only a data order for a
-    dataset in which each user's rows lie in one file.
-    """
+    """Parquet; ``with_order`` numbers the rows in ``ord``, in data order over all files."""
     df = spark.read.parquet(path)
     if with_order and "ord" not in df.columns:
-        df = df.withColumn("ord", F.col("_metadata.row_index"))
+        df = in_file_order(df)
     return canonical(df)
 
 

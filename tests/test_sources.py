@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from stepwise.functions import labels
 from stepwise.operators import catalog
 from stepwise.operators import events as ev
+from stepwise.operators.funnel import funnel
 from stepwise.sources import checks, readers
 
 HEADER = "user_id,event_name,timestamp,event_properties,user_properties\n"
@@ -47,6 +48,29 @@ def test_parquet_and_order(spark, make, tmp_path):
         readers.read_events(spark, "events.xlsx")
 
 
+def test_order_over_files(spark, make, tmp_path):
+    """A user's first event lies in the first file, and the next in the second."""
+    halves = [[("u", "A", 0), ("v", "B", 0)], [("u", "B", 1), ("v", "A", 1)]]
+    for name, rows in zip("ab", halves, strict=True):
+        for kind in ("parquet", "csv"):
+            plain = make(rows).drop("ord").toPandas()
+            folder = tmp_path / f"events.{kind}"
+            folder.mkdir(exist_ok=True)
+            if kind == "csv":
+                plain.to_csv(folder / f"{name}.csv", index=False)
+            else:
+                plain.to_parquet(folder / f"{name}.parquet", coerce_timestamps="us")
+    for kind in ("parquet", "csv"):
+        df = readers.read_events(spark, str(tmp_path / f"events.{kind}"), with_order=True)
+        names = [r["event_name"] for r in df.orderBy("ord").collect()]
+        assert names == ["A", "B", "B", "A"]
+        assert [r["users"] for r in funnel(df, ["A", "B"]).orderBy("step_idx").collect()] == [2, 1]
+
+
+def test_default_funnel_on_csv(spark, csv_path):
+    assert funnel(readers.read_events(spark, csv_path), ["A", "B"]).count() == 2
+
+
 def test_canonical(spark):
     df = spark.createDataFrame([(1, "A", "2024-01-01 00:00:00", [1, 2])],
                                "user_id int, event_name string, timestamp string, tags array<int>")

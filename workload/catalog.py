@@ -2,16 +2,18 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from stepwise.functions import labels, props, times
 from stepwise.operators import catalog
 from stepwise.operators import events as ev_ops
 from stepwise.operators.funnel import funnel
+from stepwise.plans.lineage import new_folder
 from stepwise.sources import checks, readers
 from workload import sqlkit as sk
-from workload.funnels import REENTRY, _again, cfg
-from workload.tables import STEPS, events, names, orders, rounded, scratch, table
+from workload.funnels import REENTRY, _again, _first, cfg
+from workload.tables import STEPS, events, names, orders, rounded, table
 
 QUERIES: dict[str, tuple] = {}
 CORE = ("user_id", "event_name", "timestamp", "event_properties", "ord")
@@ -22,13 +24,39 @@ SELECT_CORE = f"SELECT {', '.join(CORE)} FROM ev"
 
 
 def _csv_round_trip(spark, sf_dir):
-    path = scratch(spark)
+    path = new_folder(spark)
     readers.write_result(events(spark, sf_dir).select(*CORE), path + ".csv", "csv")
     return readers.read_events(spark, path + ".csv").select(*CORE)
 
 
+def _files(spark, sf_dir, kind):
+    """The events in several files, each holding a range of them in order, without ``ord``."""
+    path = f"{new_folder(spark)}.{kind}"
+    rows = events(spark, sf_dir).repartitionByRange(5, "ord").sortWithinPartitions("ord")
+    readers.write_result(rows.withColumnRenamed("ord", "event_id"), path, kind)
+    return path
+
+
+def _parquet_files(spark, sf_dir):
+    stored = readers.read_events(spark, _files(spark, sf_dir, "parquet"), with_order=True)
+    return stored.select(*CORE[:-1], F.col("event_id").alias("ord"))
+
+
+def _file_order(spark, sf_dir):
+    """Places of events by the order that the reader derives from files and rows."""
+    stored = readers.read_events(spark, _files(spark, sf_dir, "parquet"), with_order=True)
+    place = F.row_number().over(Window.orderBy("ord")).cast("bigint")
+    return stored.select("event_id", place.alias("place"))
+
+
+def _csv_funnel(spark, sf_dir):
+    """The default, data-ordered funnel on an uploaded CSV of several files."""
+    stored = readers.read_events(spark, _files(spark, sf_dir, "csv"))
+    return rounded(funnel(stored, STEPS, cfg(168)))
+
+
 def _result_round_trip(spark, sf_dir):
-    path = scratch(spark)
+    path = new_folder(spark)
     result = rounded(funnel(events(spark, sf_dir), STEPS, cfg(24, **REENTRY)))
     readers.write_result(result, path)
     return spark.read.parquet(path)
@@ -36,7 +64,7 @@ def _result_round_trip(spark, sf_dir):
 
 def _dictionary(spark, sf_dir):
     """A dictionary file for some events of the data and some that are not in it."""
-    path = scratch(spark)
+    path = new_folder(spark)
     known = table(spark, sf_dir, "events").select(F.col("event_type").alias("name")).distinct()
     known = known.filter(F.col("name") < "p")
     absent = table(spark, sf_dir, "region").select(F.col("r_name").alias("name"))
@@ -55,14 +83,8 @@ DICT = """dict AS (SELECT name, 'Listed' AS category, 'About ' || name AS descri
     SELECT DISTINCT event_type AS name FROM events WHERE event_type < 'p'
     UNION ALL SELECT r_name FROM region))"""
 QUERIES["a1_csv_source"] = (_csv_round_trip, sk.query(sk.EV, select=SELECT_CORE))
-QUERIES["a2_parquet_source"] = (
-    lambda spark, sf_dir: readers.canonical(
-        table(spark, sf_dir, "events"),
-        {"user_id": "user_id", "event_name": "event_type", "timestamp": "ts", "value": "value"},
-    ),
-    """SELECT CAST(user_id AS VARCHAR) AS user_id, event_type AS event_name, ts AS timestamp, value
-    FROM events""",
-)
+QUERIES["a1_csv_funnel"] = (_csv_funnel, _first(168))
+QUERIES["a2_parquet_source"] = (_parquet_files, sk.query(sk.EV, select=SELECT_CORE))
 QUERIES["a5_quality_counts"] = (
     lambda spark, sf_dir: checks.quality_counts(
         events(spark, sf_dir).withColumn(
@@ -122,10 +144,8 @@ QUERIES["b2_clean_users"] = (
     """SELECT CAST(user_id AS VARCHAR) AS user_id, event_id FROM events WHERE user_id % 5 = 3""",
 )
 QUERIES["b3_file_order"] = (
-    lambda spark, sf_dir: spark.read.parquet(f"{sf_dir}/events.parquet").select(
-        "event_id", F.col("_metadata.row_index").alias("ord")
-    ),
-    "SELECT event_id, event_id AS ord FROM events",
+    _file_order,
+    "SELECT event_id, row_number() OVER (ORDER BY event_id) AS place FROM events",
 )
 QUERIES["b4_json_field"] = (
     lambda spark, sf_dir: events(spark, sf_dir).select(
@@ -257,7 +277,7 @@ QUERIES["b15_destination_label"] = (
     sk.query(
         sk.NAMES,
         select=f"""SELECT name, {_SHORT} AS label,
-            {sk.first_match(_SHORT, labels.DESTINATION_CATEGORIES, "'other'")} AS category
+            {sk.first_match('name', labels.DESTINATION_CATEGORIES, "'other'")} AS category
         FROM names""",
     ),
 )

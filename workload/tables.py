@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from functools import reduce, wraps
 
 from pyspark.sql import DataFrame, SparkSession
@@ -101,14 +99,6 @@ def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
     )
 
 
-def scratch(spark: SparkSession) -> str:
-    """A fresh folder in the cluster's shared checkpoint folder; local only where unset."""
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    if shared:
-        return f"{shared.rstrip('/')}/stepwise-{uuid.uuid4().hex}"
-    return tempfile.mkdtemp(prefix="stepwise-") + "/data"
-
-
 def hot_slices(spark: SparkSession, events_df: DataFrame, max_rows: int, keys=("user_id",)):
     """Measure with a tiny bound, so that every user is cut as a hot user would be."""
     rows = timed(events_df)
