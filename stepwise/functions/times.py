@@ -24,6 +24,7 @@ PERIOD_UNITS = {
     "1w": "week",
     "1mo": "month",
 }
+MONTHS = {"mo": 1, "q": 3, "y": 12}
 DURATION_UNITS = {"s": "seconds", "m": "minutes", "h": "hours", "d": "days", "w": "weeks"}
 
 
@@ -39,10 +40,14 @@ def from_micros(us: Column | str) -> Column:
 
 
 def period_spec(period: str) -> tuple[str, str]:
-    """('trunc', unit) for calendar periods, ('window', duration) for fixed durations."""
+    """('trunc', unit) for calendar periods, ('window', duration) for fixed durations and
+    ('months', number) for multiples of months, quarters and years."""
     unit = PERIOD_UNITS.get(period.lower())
     if unit:
         return "trunc", unit
+    match = re.fullmatch(r"([1-9]\d*)(mo|q|y)", period)
+    if match:
+        return "months", str(int(match[1]) * MONTHS[match[2]])
     match = re.fullmatch(r"(\d+)(s|m|h|d|w)", period)
     if not match:
         raise ValueError(f"unknown aggregation period: {period!r}")
@@ -61,6 +66,13 @@ def period_start(timestamp: Column | str, period: str) -> Column:
     kind, value = period_spec(period)
     if kind == "trunc":
         return F.date_trunc(value, timestamp).cast("timestamp_ntz")
+    if kind == "months":
+        # Counted from the year 0, so that quarters and years begin where the calendar's do.
+        month = F.year(timestamp) * 12 + F.month(timestamp) - 1
+        first = month - F.pmod(month, F.lit(int(value)))
+        year = F.call_function("div", first, F.lit(12)).cast("int")
+        day = F.make_date(year, (F.pmod(first, F.lit(12)) + 1).cast("int"), F.lit(1))
+        return day.cast("timestamp_ntz")
     width = _fixed_us(value)
     # Week multiples start on a Monday, like the calendar week; 1970-01-05 was one.
     origin = 4 * 24 * HOUR_US if value.endswith("weeks") else 0
@@ -74,6 +86,8 @@ def period_end(start: Column | str, period: str, legacy_month: bool = False) ->
     kind, value = period_spec(period)
     if kind == "window":
         return from_micros(micros(start) + _fixed_us(value))
+    if kind == "months":
+        return (start + F.make_ym_interval(F.lit(0), F.lit(int(value)))).cast("timestamp_ntz")
     if value == "month":
         step = F.make_dt_interval(days=F.lit(30)) if legacy_month else F.make_ym_interval(
             F.lit(0), F.lit(1)

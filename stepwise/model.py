@@ -89,7 +89,6 @@ class FunnelConfig:
             funnel_order=self.funnel_order.value,
             segment_values=list(self.segment_values) or None,
         )
-        plain.pop("strict_order_exempt")
         return plain
 
     @classmethod

@@ -102,27 +102,21 @@ def conversion_stats(
     gaps = conversion_gaps(events, steps, cfg, slices=slices)
     # Everything below works on distinct gaps per pair, so the gaps are computed once.
     counted = gaps.groupBy(*by, "gap_us").agg(F.count(F.lit(1)).alias("m"))
-    hours = F.col("gap_us") / HOUR_US
+    # Deviations are taken from the least gap of a pair: far from zero, close gaps keep theirs.
+    least = counted.groupBy(*by).agg(F.min("gap_us").alias("least_us"))
+    beyond = (F.col("gap_us") - F.col("least_us")) / HOUR_US
     n = F.sum("m")
-    mean = F.sum(hours * F.col("m")) / n
-    square = F.sum(hours * hours * F.col("m")) / n
-    moments = {
-        "n": n,
-        "mean_hours": mean,
-        "std_hours": F.sqrt(F.greatest(square - mean * mean, F.lit(0.0))),
-    }
-    if cfg.first_only:
-        # Whole seconds up to the window bound the number of distinct values, and with it
-        # the percentile buffer of a pair.
-        moments["q"] = F.percentile(hours, list(PROBABILITIES), F.col("m"))
-    stats = counted.groupBy(*by).agg(*[c.alias(name) for name, c in moments.items()])
+    mean = F.sum(beyond * F.col("m")) / n
+    square = F.sum(beyond * beyond * F.col("m")) / n
+    stats = counted.join(least, by).groupBy(*by).agg(
+        n.alias("n"),
+        (F.min("least_us") / HOUR_US + mean).alias("mean_hours"),
+        F.sqrt(F.greatest(square - mean * mean, F.lit(0.0))).alias("std_hours"),
+    )
     names = ("median_hours", "p25_hours", "p75_hours", "p90_hours")
-    if cfg.first_only:
-        quantiles = {name: F.col("q")[i] for i, name in enumerate(names)}
-    else:
-        exact = exact_quantiles(counted, by, "gap_us", "m", PROBABILITIES, cfg.window_us)
-        stats = stats.join(exact, by)
-        quantiles = {name: F.col(f"q{i}") / HOUR_US for i, name in enumerate(names)}
+    exact = exact_quantiles(counted, by, "gap_us", "m", PROBABILITIES, cfg.window_us)
+    stats = stats.join(exact, by)
+    quantiles = {name: F.col(f"q{i}") / HOUR_US for i, name in enumerate(names)}
     return stats.withColumns(quantiles).select(
         *[c for c in by if c != "pair_idx"], "n", "mean_hours", *names, "std_hours"
     )

@@ -7,6 +7,7 @@ from datetime import datetime, timedelta
 import numpy as np
 import pytest
 
+from stepwise.functions import times
 from stepwise.model import FunnelConfig
 from stepwise.operators import cohort, convert, series
 from stepwise.operators.events import timed
@@ -183,3 +184,26 @@ def test_cohorts(make):
     assert [(r["performance"], r["is_best"], r["is_worst"]) for r in ranked] == [
         ("Medium", True, False), ("Low", False, True),
     ]
+
+
+def test_calendar_multiples(spark):
+    df = spark.sql("SELECT timestamp_ntz'2024-08-15 10:00:00' AS t")
+    for period, start, end in (
+        ("1q", "2024-07-01", "2024-10-01"),
+        ("1y", "2024-01-01", "2025-01-01"),
+        ("2mo", "2024-07-01", "2024-09-01"),
+        ("2y", "2024-01-01", "2026-01-01"),
+    ):
+        found = df.select(times.period_start("t", period).alias("s"))
+        row = found.select("s", times.period_end("s", period).alias("e")).first()
+        assert [str(x)[:10] for x in row] == [start, end], period
+
+
+def test_deviation_of_long_close_gaps(make):
+    base = 8000 * 60
+    rows = []
+    for i, late in enumerate((0, 1, 2, 3)):
+        rows += [(f"u{i}", "A", 0), (f"u{i}", "B", base + late / 60)]
+    rows = [(u, n, BASE + timedelta(minutes=m)) for u, n, m in rows]
+    got = convert.conversion_stats(make(rows), ["A", "B"], FunnelConfig(9000)).first()
+    assert abs(got["std_hours"] * 3600 / 1.25**0.5 - 1) < 1e-6
