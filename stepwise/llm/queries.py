@@ -52,6 +52,42 @@ def op10_neighbours(spark, sf_dir):
     return neighbours.search(vectors, vectors.where("vec_id % 20 = 0"))
 
 
+_SENTENCES = r"""unnest(string_split(regexp_replace(lower(regexp_replace(content, '\s+', ' ', 'g')),
+        '([.!?]) ', '\1' || chr(1), 'g'), chr(1)))"""
+# Quotations by looking every quoted sentence up; reply chains by recursion.
+CONVERSATIONS = rf"""WITH RECURSIVE m AS (
+    SELECT row_number() OVER () AS k, conv_id, CAST(turn AS BIGINT) AS turn, role,
+        string_split_regex(coalesce(text, ''), '\r\n|\r|\n') AS ls FROM conversations),
+l AS (SELECT k, conv_id, turn, i, regexp_replace(line, '^\s*>[>\s]*', '') AS words,
+        length(regexp_replace(regexp_extract(line, '^\s*>[>\s]*'), '[^>]', '', 'g')) AS level
+    FROM (SELECT k, conv_id, turn, unnest(ls) AS line, unnest(range(len(ls))) AS i FROM m)),
+o AS (SELECT k, conv_id, turn, max(level) AS quote_levels, regexp_replace(coalesce(
+        string_agg(words, chr(10) ORDER BY i) FILTER (level = 0), ''), '^\s+|\s+$', '', 'g') AS content
+    FROM l GROUP BY k, conv_id, turn),
+q AS (SELECT k, conv_id, turn, level, string_agg(words, ' ' ORDER BY i) AS content
+    FROM l WHERE level > 0 GROUP BY k, conv_id, turn, level),
+own AS (SELECT DISTINCT conv_id, turn, trim(s) AS s FROM (
+    SELECT conv_id, turn, {_SENTENCES} AS s FROM o) WHERE trim(s) <> ''),
+quoted AS (SELECT conv_id, turn, level, trim(s) AS s FROM (
+    SELECT conv_id, turn, level, {_SENTENCES} AS s FROM q) WHERE trim(s) <> ''),
+found AS (SELECT conv_id, turn, level, source, count(*) AS n FROM (
+        SELECT a.conv_id, a.turn, a.level, a.s, a.nth, max(b.turn) AS source
+        FROM (SELECT *, row_number() OVER () AS nth FROM quoted) a
+        JOIN own b ON b.conv_id = a.conv_id AND b.s = a.s AND b.turn < a.turn GROUP BY ALL)
+    GROUP BY conv_id, turn, level, source),
+pa AS (SELECT conv_id, turn, arg_max(source, (n, source)) AS parent FROM (
+        SELECT *, min(level) OVER (PARTITION BY conv_id, turn) AS outermost FROM found)
+    WHERE level = outermost GROUP BY conv_id, turn),
+r AS (SELECT conv_id, turn, parent, 1 AS depth, parent AS above FROM pa
+    UNION ALL SELECT r.conv_id, r.turn, r.parent, r.depth + 1, pa.parent
+    FROM r JOIN pa ON pa.conv_id = r.conv_id AND pa.turn = r.above),
+z AS (SELECT conv_id, turn, max(parent) AS parent, max(depth) AS depth, arg_max(above, depth) AS root
+    FROM r GROUP BY conv_id, turn)
+SELECT o.conv_id, o.turn, m.role, o.content, CAST(o.quote_levels AS INTEGER) AS quote_levels,
+    z.parent AS parent_turn, coalesce(z.root, o.turn) AS root_turn,
+    CAST(coalesce(z.depth, 0) AS INTEGER) AS depth
+FROM o JOIN m ON m.k = o.k LEFT JOIN z ON z.conv_id = o.conv_id AND z.turn = o.turn"""
+
 # All pairs of documents that share a shingle, and everything that links reach.
 NEAR_DUPLICATES = """WITH RECURSIVE w AS (
     SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
@@ -76,7 +112,7 @@ QUERIES: dict[str, tuple] = {
     "op2_near_dup": (op2_near_dup, NEAR_DUPLICATES),
     "op3_fingerprint": (op3_fingerprint, None),
     "op4_quality": (op4_quality, None),
-    "op5_chat": (op5_chat, None),
+    "op5_chat": (op5_chat, CONVERSATIONS),
     "op6_packing": (op6_packing, None),
     "op7_token_blocks": (op7_token_blocks, None),
     "op8_mixing": (op8_mixing, None),

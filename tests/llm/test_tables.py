@@ -4,10 +4,12 @@ import hashlib
 import random
 import re
 
+import duckdb
 import numpy as np
 import pytest
 
 from stepwise.llm import chat, fingerprint, mixing, neighbours
+from stepwise.llm.queries import CONVERSATIONS
 
 
 def words_of(text):
@@ -279,6 +281,11 @@ def test_quotation_links(spark):
             at, depth = (at[0], expected[at]), depth + 1
         assert (r["root_turn"], r["depth"]) == (at[1], depth)
         assert not any(line.startswith(">") for line in r["content"].split("\n"))
+    # The registered SQL gives the same rows.
+    con = duckdb.connect()
+    con.register("conversations", table.toArrow())
+    by_sql = con.execute(CONVERSATIONS).to_arrow_table().select(chat.link(table).columns).to_pylist()
+    assert sorted(map(repr, by_sql)) == sorted(repr(r.asDict()) for r in got)
     assert found[1, 2]["content"] == "Great news!" and found[1, 2]["quote_levels"] == 2
     assert chat.link(table.limit(0)).count() == 0
     in_order = [r["turn"] for r in chat.ordered(chat.link(table.where("conv_id = 1").distinct())).collect()]
