@@ -23,7 +23,7 @@ def _whole(docs: DataFrame) -> DataFrame:
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the toxicity model does not reject."""
     ship(spark)
-    model = toxicity.train(toxicity.training_rows(docs, table(spark, sf_dir, "labels")))
+    model = toxicity.train(docs, table(spark, sf_dir, "labels"))
     scored = toxicity.score(_whole(docs), model, keep=("row",))
     return scored.where("score < 0.5").select("row.*")
 

@@ -38,3 +38,19 @@ def sample(rows: DataFrame, label: str, sizes: dict, most: int) -> DataFrame:
         .where(F.col("_rank") <= most)
         .drop("_place", "_rank")
     )
+
+
+def labelled_texts(docs: DataFrame, labels: DataFrame, label: str, most: int) -> tuple[DataFrame, dict]:
+    """doc_id, text and label of at most ``most`` labelled documents of each class, and the
+    number of labels of each class.
+
+    The labels are sampled, so what is broadcast is bounded by the sample's size, and no text
+    moves but those of the sample.  Labels without a document or a text leave it smaller.
+    """
+    named = labels.select(F.col("doc_id").cast("long").alias("doc_id"), label).where(
+        F.col("doc_id").isNotNull() & F.col(label).isNotNull()
+    )
+    sizes = class_sizes(named, label)
+    ids = sample(named, label, sizes, most)
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("text is not null")
+    return texts.join(F.broadcast(ids), "doc_id"), sizes

@@ -26,14 +26,15 @@ from pyspark.sql.types import (
     StructType,
 )
 
-from stepwise.llm.labelled import class_sizes, remainder, sample
+from stepwise.llm.labelled import labelled_texts, remainder
 from stepwise.llm.near_dup import shingle_sets
+from stepwise.llm.shared import saved
 from stepwise.llm.textscan import text_bytes, word_blocks
 
 FOLDS = 5
 # Training texts of each class, at most, and bytes of them that reach the driver, at most.
 TEXTS = 4000
-BYTES = 16 << 20
+BYTES = 10 << 20
 BUCKETS = 1 << 20
 CHAIN = 48
 # A telling feature is this many times as frequent in toxic texts, and its likelihood-ratio
@@ -261,18 +262,21 @@ def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.05) -> np.ndarray:
     return w
 
 
-def train(labelled: DataFrame, texts: int = TEXTS) -> Model:
-    """The model of labelled(doc_id, text, toxic), from at most ``texts`` rows of each class.
+def train(docs: DataFrame, labels: DataFrame, texts: int = TEXTS) -> Model:
+    """The model of docs(doc_id, text) and labels(doc_id, toxic), from at most ``texts`` documents
+    of each class.
 
-    Of the chosen texts, taken in a fixed random order, as many whole ones reach the driver as
-    fit into ``BYTES``.  Rows without text or label are ignored.
+    Labels whose crc32(doc_id) modulo ``FOLDS`` is 0 are held out.  Of the chosen texts, taken in
+    a fixed random order, as many whole ones reach the driver as fit into ``BYTES``.  Rows without
+    text or label are ignored.
     """
-    rows = labelled.where("text is not null and toxic is not null").select(
-        "doc_id", "text", (F.col("toxic") == 1).alias("toxic")
+    marked = labels.where(remainder(F.col("doc_id").cast("long"), FOLDS) != 0).select(
+        "doc_id", (F.col("toxic") == 1).alias("toxic")
     )
-    chosen = sample(rows, "toxic", class_sizes(rows, "toxic"), texts)
-    chosen = chosen.withColumn("size", F.octet_length("text")).withColumn(
-        "at", F.xxhash64(F.lit("order"), "doc_id")
+    chosen = saved(
+        labelled_texts(docs, marked, "toxic", texts)[0]
+        .withColumn("size", F.octet_length("text"))
+        .withColumn("at", F.xxhash64(F.lit("order"), "doc_id"))
     )
     picked, room = [], BYTES
     for at, size in sorted((r["at"], r["size"]) for r in chosen.select("at", "size").collect()):
@@ -353,21 +357,13 @@ def score(docs: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id",)) ->
     return docs.select(*keep, F.col("text").alias("_scored")).mapInArrow(run, schema)
 
 
-def training_rows(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """doc_id, text and toxic of the labelled documents that may be learned from."""
-    named = labels.select(F.col("doc_id").cast("long").alias("doc_id"), "toxic").where(
-        remainder(F.col("doc_id"), FOLDS) != 0
-    )
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(named, "doc_id")
-
-
 def detect(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """doc_id, held_out, score, predicted and spans for every row of docs(doc_id, text).
 
     Learns from labels whose crc32(doc_id) modulo ``FOLDS`` is not 0.  Rows without doc_id are
     scored but never learned from.
     """
-    model = train(training_rows(docs, labels))
+    model = train(docs, labels)
     return score(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), model).select(
         "doc_id",
         F.coalesce(remainder(F.col("doc_id"), FOLDS) == 0, F.lit(False)).alias("held_out"),
