@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from stepwise.functions.props import property_map, property_value, split_segment_name
+from stepwise.functions.props import property_is, property_map, property_value, split_segment_name
 from stepwise.functions.times import micros
 from stepwise.model import FunnelConfig
 from stepwise.sources.readers import valid_users
@@ -104,7 +104,7 @@ def property_values(events: DataFrame, key: str, column: str = "event_properties
 
 
 def filter_by_property(events: DataFrame, column: str, key: str, value: str) -> DataFrame:
-    return events.filter(property_value(column, key) == value)
+    return events.filter(property_is(column, key, value))
 
 
 def _segment_value(cfg: FunnelConfig) -> Column:

@@ -75,7 +75,7 @@ def plan_bytes(df: DataFrame) -> int | None:
     """Catalyst's size estimate of a plan, or None where the session does not expose it."""
     try:
         return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    except Exception:
+    except AttributeError:
         return None
 
 
