@@ -24,7 +24,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the toxicity model does not reject."""
     ship(spark)
     model = toxicity.train(docs, table(spark, sf_dir, "labels"))
-    scored = toxicity.score(_whole(docs), model, keep=("row",))
+    scored = toxicity.score(_whole(docs), model, keep=("row",), row="row")
     return scored.where("score < 0.5").select("row.*")
 
 
@@ -33,7 +33,7 @@ def drop_unknown_language(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
     ship(spark)
     held_out = language.remainder(F.col("doc_id"), language.FOLDS) == 0
     model = language.train(docs.where(~held_out))
-    found = language.predict(_whole(docs), model, keep=("row",))
+    found = language.predict(_whole(docs), model, keep=("row",), row="row")
     known = (F.col("lang_pred") != language.UNDETERMINED) & (F.col("bits") <= language.RAW_BITS)
     return found.where(known).select("row.*")
 

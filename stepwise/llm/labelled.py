@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -9,6 +11,17 @@ from pyspark.sql.window import Window
 _SCALE = 1 << 30
 
 
+def text_beside(part: pa.RecordBatch, row: str | None) -> tuple[pa.Array, list[pa.Array], list[str]]:
+    """A batch's texts, its other columns and their names.
+
+    The text is the last column or, where the batch carries whole rows as a struct, a field of
+    that, so that long texts travel once.
+    """
+    if row is None:
+        return part.columns[-1], part.columns[:-1], part.schema.names[:-1]
+    return pc.struct_field(part.column(row), "text"), part.columns, part.schema.names
+
+
 def remainder(doc_id: Column, divisor: int) -> Column:
     """crc32 of the id's text, modulo the divisor; null without an id."""
     return F.crc32(doc_id.cast("string")) % divisor

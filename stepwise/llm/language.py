@@ -21,14 +21,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
-from stepwise.llm.labelled import class_sizes, remainder, sample
+from stepwise.llm.labelled import class_sizes, remainder, sample, text_beside
 from stepwise.llm.textscan import text_bytes
 
 ORDER = 3
 # Training texts of each language, at most.
 TEXTS = 400
 # Contexts that a model keeps, the most frequent first: states x bytes x languages.
-CELLS = 1 << 24
+CELLS = 1 << 23
 UNDETERMINED = "und"
 # A best code well beyond the 8 bits of a raw byte means that no learned language fits.
 RAW_BITS = 10.0
@@ -195,11 +195,13 @@ def train(labelled: DataFrame, texts: int = TEXTS) -> Model:
     return build(langs, [(index[r["lang"]], r["size"], r["gram"], r["count"]) for r in counts])
 
 
-def _predict(batches: Iterator[pa.RecordBatch], model: Model) -> Iterator[pa.RecordBatch]:
+def _predict(
+    batches: Iterator[pa.RecordBatch], model: Model, row: str | None
+) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for at in range(0, batch.num_rows, 500):
             part = batch.slice(at, 500)
-            texts = part.column(part.num_columns - 1)
+            texts, rest, kept = text_beside(part, row)
             lengths = code_lengths(model, texts)
             known = has_letter(texts)
             n = len(texts)
@@ -217,15 +219,17 @@ def _predict(batches: Iterator[pa.RecordBatch], model: Model) -> Iterator[pa.Rec
                 for b, k in zip(best.tolist(), known.tolist(), strict=True)
             ]
             columns = [pa.array(names, pa.string()), pa.array(score), pa.array(bits)]
-            rest = [part.column(i) for i in range(part.num_columns - 1)]
             yield pa.RecordBatch.from_arrays(
                 [*rest, *columns],
-                [*part.schema.names[:-1], "lang_pred", "score", "bits"],
+                [*kept, "lang_pred", "score", "bits"],
             )
 
 
-def predict(docs: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """The kept columns with lang_pred, score and bits for every row of docs.
+def predict(
+    docs: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id",), row: str | None = None
+) -> DataFrame:
+    """The kept columns with lang_pred, score and bits for every row of docs, whose text is the
+    column ``text`` or, if row is given, that field of the kept struct.
 
     score is the winner's share of the posterior under equal priors; bits is its code length per
     byte.  Null texts and texts without a letter are ``und`` with score 0.  Whole texts are
@@ -235,7 +239,7 @@ def predict(docs: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id",))
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):
-        return _predict(batches, shared.value)
+        return _predict(batches, shared.value, row)
 
     kept = docs.select(*keep)
     schema = StructType(
@@ -246,7 +250,8 @@ def predict(docs: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id",))
             StructField("bits", DoubleType()),
         ]
     )
-    return docs.select(*keep, F.col("text").alias("_scored")).mapInArrow(run, schema)
+    scored = [] if row else [F.col("text").alias("_scored")]
+    return docs.select(*keep, *scored).mapInArrow(run, schema)
 
 
 def identify(docs: DataFrame) -> DataFrame:

@@ -26,7 +26,7 @@ from pyspark.sql.types import (
     StructType,
 )
 
-from stepwise.llm.labelled import labelled_texts, remainder
+from stepwise.llm.labelled import labelled_texts, remainder, text_beside
 from stepwise.llm.near_dup import shingle_sets
 from stepwise.llm.shared import saved
 from stepwise.llm.textscan import text_bytes, word_blocks
@@ -298,11 +298,11 @@ def _characters(data: np.ndarray, offsets: np.ndarray, owner, position) -> np.nd
     return heads[begin + position] - heads[begin]
 
 
-def _score(batches: Iterator[pa.RecordBatch], model: Model) -> Iterator[pa.RecordBatch]:
+def _score(batches: Iterator[pa.RecordBatch], model: Model, row: str | None) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for at in range(0, batch.num_rows, 500):
             part = batch.slice(at, 500)
-            texts = part.column(part.num_columns - 1)
+            texts, rest, names = text_beside(part, row)
             found = tokens(texts)
             toxic = model.marginals(found) if len(found.texts) else np.zeros(0)
             x = document_features(toxic, found.texts, len(texts)) @ model.calibration
@@ -322,11 +322,11 @@ def _score(batches: Iterator[pa.RecordBatch], model: Model) -> Iterator[pa.Recor
             borders = np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)
             yield pa.RecordBatch.from_arrays(
                 [
-                    *(part.column(i) for i in range(part.num_columns - 1)),
+                    *rest,
                     pa.array(score),
                     pa.ListArray.from_arrays(pa.array(borders), spans),
                 ],
-                [*part.schema.names[:-1], "score", "spans"],
+                [*names, "score", "spans"],
             )
 
 
@@ -335,8 +335,11 @@ _SPAN = StructType(
 )
 
 
-def score(docs: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """The kept columns with score and spans for every row of docs.
+def score(
+    docs: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id",), row: str | None = None
+) -> DataFrame:
+    """The kept columns with score and spans for every row of docs, whose text is the column
+    ``text`` or, if row is given, that field of the kept struct.
 
     spans are the code-point offsets of tokens whose toxic marginal is at least 0.5.  Null and
     empty texts have the score of a text without toxic tokens.  Repeated rows are scored alike;
@@ -345,7 +348,7 @@ def score(docs: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id",)) ->
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):
-        return _score(batches, shared.value)
+        return _score(batches, shared.value, row)
 
     schema = StructType(
         [
@@ -354,7 +357,8 @@ def score(docs: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id",)) ->
             StructField("spans", ArrayType(_SPAN)),
         ]
     )
-    return docs.select(*keep, F.col("text").alias("_scored")).mapInArrow(run, schema)
+    scored = [] if row else [F.col("text").alias("_scored")]
+    return docs.select(*keep, *scored).mapInArrow(run, schema)
 
 
 def detect(docs: DataFrame, labels: DataFrame) -> DataFrame:
