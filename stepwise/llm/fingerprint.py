@@ -127,7 +127,7 @@ def fingerprints(docs: DataFrame) -> DataFrame:
         F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")
     )
     # Of rows that repeat a doc_id, the first stands for them.
-    standing = F.row_number().over(Window.partitionBy("doc_id").orderBy("text")) == 1
+    standing = F.lag("doc_id").over(Window.partitionBy("doc_id").orderBy("text")).isNull()
     named = texts.where("doc_id is not null")
     third = F.floor(F.char_length("text") / 3).cast("int")
     needs = named.groupBy("doc_id").agg(F.max(third).alias("need"))
