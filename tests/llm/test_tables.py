@@ -290,3 +290,85 @@ def test_quotation_links(spark):
     assert chat.link(table.limit(0)).count() == 0
     in_order = [r["turn"] for r in chat.ordered(chat.link(table.where("conv_id = 1").distinct())).collect()]
     assert in_order == [0, 1, 2, 3, 4]
+
+
+def parted_links(rows):
+    """Parents where sentences that are not found count by their passages, and these by their lines;
+    plain_links has the rule for whole sentences only."""
+    def parts(lines):
+        """Sentences of (passage, words), each as a list of passages of lists of lines."""
+        out, at = [], None
+        for run, words in lines:
+            for piece in re.split(r"(?<=[.!?])\s+", words.strip()):
+                piece = " ".join(re.split(r"\s+", piece.strip())).lower()
+                if not piece:
+                    continue
+                if at is None:
+                    out.append(at := {})
+                at.setdefault(run, []).append(piece)
+                if piece[-1] in ".!?":
+                    at = None
+        return [list(s.values()) for s in out]
+
+    def text(pieces):
+        return " ".join(pieces)
+
+    messages = []
+    for conv, turn, _, body in rows:
+        levels: dict = {}
+        run, before = 0, None
+        for line in re.split(r"\r\n|\r|\n", body):
+            marks = re.match(r"^\s*>[>\s]*", line)
+            level = marks.group(0).count(">") if marks else 0
+            run += level != before
+            before = level
+            levels.setdefault(level, []).append((run, line[marks.end() :] if marks else line))
+        own = set()
+        for s in parts(levels.pop(0, [])):
+            own |= {text(text(p) for p in s)} | {text(p) for p in s} | {x for p in s for x in p}
+        messages.append((conv, turn, own, {n: parts(x) for n, x in levels.items()}))
+    parents = {}
+    for conv, turn, _, levels in messages:
+        def source(s, conv=conv, turn=turn):
+            return max((t for c, t, own, _ in messages if c == conv and t < turn and s in own), default=None)
+
+        for level in sorted(levels):
+            votes = []
+            for s in levels[level]:
+                whole = source(text(text(p) for p in s))
+                if whole is not None:
+                    votes.append(whole)
+                    continue
+                for p in s:
+                    votes += [source(text(p))] if source(text(p)) is not None else [source(x) for x in p]
+            votes = [v for v in votes if v is not None]
+            if votes:
+                parents[conv, turn] = max(votes, key=lambda t: (votes.count(t), t))
+                break
+    return parents
+
+
+def test_inline_quotations_without_stops(spark):
+    rows = [
+        (1, 0, "user", "how do I install it"),
+        (1, 1, "assistant", "use pip"),
+        (1, 2, "user", "> how do I install it\nrun setup\n> use pip\nagreed"),
+        (2, 0, "user", "first item\nsecond item\nthird  item"),
+        (2, 1, "user", "something else"),
+        (2, 2, "user", "> Second item\nyes"),
+        (3, 0, "user", "one line of\na sentence that is wrapped"),
+        (3, 1, "user", "> one line\n> of a sentence\nno\n> that is wrapped\nwhy"),
+        (3, 2, "user", "> no\n> why"),
+        (4, 0, "user", "install python\n> nothing\nthen use it"),
+        (4, 1, "user", "well"),
+        (4, 2, "user", "> then use it\nok"),
+    ]
+    rng = random.Random(3)
+    pool = ["alpha", "beta two", "gamma.", "delta", "Mid. epsilon", "zeta!", "eta  x", ""]
+    for turn in range(60):
+        lines = [rng.choice(["", "> ", "> ", ">> "]) + rng.choice(pool) for _ in range(rng.randrange(1, 6))]
+        rows.append((9, turn, "user", "\n".join(lines)))
+    table = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    found = {(r["conv_id"], r["turn"]): r["parent_turn"] for r in chat.link(table).collect()}
+    assert {k: v for k, v in found.items() if v is not None} == parted_links(rows)
+    assert (found[1, 2], found[2, 2], found[3, 1], found[3, 2], found[4, 2]) == (1, 0, 0, 1, 0)
