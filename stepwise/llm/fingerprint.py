@@ -1,7 +1,9 @@
 """Document fingerprints by Order MinHash, in SQL functions only.
 
 A text is cut into words and these into bits of at most four characters; a k-mer is ``KMER``
-neighbouring bits.  Equal k-mers of a text are numbered in their order, so that repeats count.
+neighbouring bits.  Where more than ``LONG`` characters of a word are left, a bit starts at every
+character, so that an edit in text without white space shifts no more than the bits of the last
+``LONG`` characters, which are counted from the word's end.  Equal k-mers of a text are numbered in their order, so that repeats count.
 One hash function orders the numbered k-mers; the ``KEPT`` smallest are selected and put back
 into the order in which they stand in the text.  Each two neighbours of that sequence are
 hashed into one entry of the signature.  Moved, inserted or deleted passages change the order or
@@ -19,11 +21,18 @@ from stepwise.llm.shared import saved
 
 KMER = 2
 KEPT = 64
+LONG = 16
 # Places in a text that a k-mer's number can hold; beyond, order is modulo this.
 _PLACES = (1 << 24) - 1
 # Steps of a search among up to 2 ** 24 equal k-mers.
 _STEPS = [1 << b for b in range(23, -1, -1)]
-_BITS = r"[^\x20\x09-\x0D]{1,4}"
+_WORD = r"[^\x20\x09-\x0D]"
+_BITS = rf"(?=({_WORD}{{1,4}}))(?:(?={_WORD}{{{LONG + 1}}}){_WORD}|{_WORD}{{1,4}})"
+
+
+def bits_of(text: str) -> Column:
+    """The bits of a text column, in order."""
+    return F.regexp_extract_all(text, F.lit(_BITS), F.lit(1))
 
 
 def with_signature(df: DataFrame, text: str, out: str) -> DataFrame:
@@ -66,7 +75,7 @@ def with_signature(df: DataFrame, text: str, out: str) -> DataFrame:
         lambda i: F.xxhash64(F.get(in_order, i), F.get(in_order, i + 1)).bitwiseAND(F.lit(0xFFFFFFFF)),
     )
     return (
-        df.withColumn(bits, F.regexp_extract_all(text, F.lit(_BITS), F.lit(0)))
+        df.withColumn(bits, bits_of(text))
         .withColumn(sorted_, F.when(F.size(bits) == 0, nothing).otherwise(F.sort_array(kmers)))
         .drop(bits)
         .withColumn(low, F.slice(F.sort_array(F.transform(sorted_, numbered)), 1, KEPT))

@@ -372,3 +372,31 @@ def test_inline_quotations_without_stops(spark):
     found = {(r["conv_id"], r["turn"]): r["parent_turn"] for r in chat.link(table).collect()}
     assert {k: v for k, v in found.items() if v is not None} == parted_links(rows)
     assert (found[1, 2], found[2, 2], found[3, 1], found[3, 2], found[4, 2]) == (1, 0, 0, 1, 0)
+
+
+def test_fingerprints_of_text_without_white_space(documents):
+    rng = random.Random(9)
+    han = "".join(chr(rng.randrange(0x4E00, 0x9FA5)) for _ in range(3000))
+    emoji = "".join(chr(rng.randrange(0x1F600, 0x1F640)) for _ in range(3000))
+    code = "".join(rng.choices("abcdefghijklmnopqrstuvwxyz(){};=.", k=3000))
+    spaced = " ".join("https://example.org/" + "".join(rng.choices("abcdefgh/?=&", k=80)) for _ in range(40))
+    texts = []
+    for text in (han, emoji, code, spaced):
+        texts += ["+" + text, text, text[1:], text[:1500] + "+" + text[1500:]]
+    # The next of a text is the one before it in this list.
+    docs = documents([(i, t, None, None) for i, t in enumerate(texts)])
+    near = {r["doc_id"]: r["near_next"] for r in fingerprint.fingerprints(docs).collect()}
+    assert all((near[i] > 0.7) == (i % 4 > 0) for i in range(len(texts)))
+
+    def bits(text):
+        out = []
+        for word in re.findall(r"[^\x20\x09-\x0D]+", text):
+            head = max(0, len(word) - fingerprint.LONG)
+            out += [word[i : i + 4] for i in range(head)]
+            out += [word[i : i + 4] for i in range(head, len(word), 4)]
+        return out
+
+    words = [chr(0x1F600) * n for n in range(15, 20)] + ["abcdefghijklmnopqrstuvwxyz"[:n] for n in range(1, 27)]
+    for text in [*texts, " ".join(words), "\t".join(words)]:
+        row = documents([(1, text, None, None)]).select(fingerprint.bits_of("text").alias("b")).first()
+        assert row["b"] == bits(text)
