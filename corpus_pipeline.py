@@ -57,11 +57,10 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as the mix of sources takes them."""
     ship(spark)
-    copies = (
-        mixing.mix(docs).groupBy(F.col("doc_id").alias("_id")).agg(F.min("copies").alias("_copies"))
-    )
-    taken = _whole(docs).join(copies, F.col("doc_id").eqNullSafe(F.col("_id"))).where("_copies > 0")
-    return taken.select("row", F.explode(F.sequence(F.lit(1), "_copies"))).select("row.*")
+    # Ids may be null or repeat in other sources, so each row carries its own copies.
+    whole = docs.select(F.struct(*docs.columns).alias("row"), "doc_id", "text", "source")
+    taken = mixing.mix(whole, keep=("row",)).where("copies > 0")
+    return taken.select("row", F.explode(F.sequence(F.lit(1), "copies"))).select("row.*")
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -124,7 +124,7 @@ def deal(units: DataFrame, levels: int = LEVELS) -> DataFrame:
     )
 
 
-def mix(docs: DataFrame) -> DataFrame:
+def mix(docs: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
     """doc_id, size, source_size, target, taken, copies and shards of every row of
     docs(doc_id, text, source).
 
@@ -132,11 +132,20 @@ def mix(docs: DataFrame) -> DataFrame:
     times copies.  A source's taken words differ from its target by less than one document's.
     Rows that repeat a doc_id share their block and hence their shards, save where documents are
     counted off one by one; a null doc_id is an id like any other, and a null source is a source.
-    Wordless documents come with their block.  Other columns are ignored; an empty table gives no
-    rows.
+    Wordless documents come with their block.  The columns in ``keep`` come along, so that each row
+    has its own copies; other columns are ignored.  An empty table gives no rows.
     """
+    kept = [F.col(c).alias(f"kept_{c}") for c in keep]
+    # Tells rows that repeat a doc_id apart where they are counted off, as they are told apart by keep.
+    mark = F.xxhash64("text") if keep else F.lit(0)
     rows = saved(
-        docs.select(F.col("doc_id").cast("long").alias("doc_id"), "source", size_of(F.col("text")).alias("size"))
+        docs.select(
+            F.col("doc_id").cast("long").alias("doc_id"),
+            "source",
+            size_of(F.col("text")).alias("size"),
+            mark.alias("mark"),
+            *kept,
+        )
         .withColumn("block", _part("block"))
         .withColumn("inner", _part("inner"))
     )
@@ -201,7 +210,7 @@ def mix(docs: DataFrame) -> DataFrame:
         .join(inner.alias("i"), _same("r", "i", "source", "inner"))
         .select("r.*", "i.state", (F.col("i.room") - F.col("i.before")).alias("left"))
     )
-    order = Window.partitionBy("source").orderBy(F.xxhash64(F.lit("document"), "doc_id"), "doc_id", "size")
+    order = Window.partitionBy("source").orderBy(F.xxhash64(F.lit("document"), "doc_id"), "doc_id", "size", "mark")
     before = F.sum("size").over(order.rowsBetween(Window.unboundedPreceding, -1))
     one_by_one = counted.where("state = 'cut'").withColumn(
         "more", F.coalesce(before, F.lit(0)) + F.col("size") / 2 <= F.col("left")
@@ -214,7 +223,9 @@ def mix(docs: DataFrame) -> DataFrame:
     out = None
     for part in parts:
         shards = F.when(F.col("more"), F.array_append("shards", F.col("partial"))).otherwise(F.col("shards"))
-        part = part.select("doc_id", "source", "size", "source_size", "target", shards.alias("shards"))
+        part = part.select(
+            "doc_id", "size", "source_size", "target", shards.alias("shards"), *[f"kept_{c}" for c in keep]
+        )
         out = part if out is None else out.union(part)
     return out.withColumn("copies", F.size("shards")).select(
         "doc_id",
@@ -224,6 +235,7 @@ def mix(docs: DataFrame) -> DataFrame:
         (F.col("size") * F.col("copies")).alias("taken"),
         "copies",
         "shards",
+        *[F.col(f"kept_{c}").alias(c) for c in keep],
     )
 
 

@@ -1,7 +1,7 @@
 from __future__ import annotations
 
 import corpus_pipeline
-from stepwise.llm import near_dup
+from stepwise.llm import mixing, near_dup
 from stepwise.llm.shared import saved
 
 SF = "/root/testdata/sf0.001"
@@ -38,3 +38,27 @@ def test_stages_on_odd_and_empty_rows(spark, documents, odd_rows):
         for _, stage in corpus_pipeline.STAGES:
             out = stage(spark, docs, SF)
             out.collect()
+
+
+def test_mixing_takes_each_row_by_its_own_source(spark, documents):
+    rows = [(i if i % 5 else None, f"a{i} " + "word " * (i % 40), None, "a") for i in range(240)]
+    rows += [(i if i % 3 else None, f"b{i} " + "word " * (i % 7), None, "b") for i in range(30)]
+    rows += [(7, "b again", None, "b"), (None, None, None, "b"), (None, "alone", None, None)]
+    docs = documents(rows)
+    taken: dict = {}
+    for r in mixing.mix(docs).collect():
+        taken[r["source_size"]] = taken.get(r["source_size"], 0) + r["taken"]
+    copies: dict = {}
+    for r in corpus_pipeline.mix_sources(spark, docs, SF).collect():
+        key = (r["doc_id"], r["text"], None, r["source"])
+        copies[key] = copies.get(key, 0) + 1
+    assert set(copies) <= set(rows)
+    size = lambda text: len((text or "").split())
+    for source in ("a", "b", None):
+        whole = sum(size(r[1]) for r in rows if r[3] == source)
+        assert sum(size(k[1]) * n for k, n in copies.items() if k[3] == source) == taken[whole]
+    # The small sources give all their rows three times, whatever the large one's rows of these ids do.
+    assert all(copies[r] == 3 for r in rows if r[3] != "a")
+    assert 0 < sum(r not in copies for r in rows if r[3] == "a")
+    again = corpus_pipeline.mix_sources(spark, docs.repartition(5), SF).collect()
+    assert len(again) == sum(copies.values()) and {(r["doc_id"], r["text"], None, r["source"]) for r in again} == set(copies)
