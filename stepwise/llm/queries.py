@@ -4,10 +4,25 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from stepwise.llm import chat, fingerprint, language, mixing, near_dup, neighbours, packing, quality, token_blocks, toxicity
+from stepwise.llm import (
+    byte_bpe,
+    chat,
+    filter_audit,
+    fingerprint,
+    language,
+    mixing,
+    near_dup,
+    neighbours,
+    packing,
+    periodic,
+    quality,
+    token_blocks,
+    toxicity,
+)
 from stepwise.llm.shared import table
 
 TOKENIZER = "word_bpe_49k.json"
+RANKS = "byte_bpe_50k.tiktoken"
 
 
 def op1_language_id(spark, sf_dir):
@@ -52,6 +67,20 @@ def op10_neighbours(spark, sf_dir):
     return neighbours.search(vectors, vectors.where("vec_id % 20 = 0"))
 
 
+def op11_runs(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    return periodic.digests(periodic.find_runs(periodic.with_periods(docs)))
+
+
+def op12_filter_audit(spark, sf_dir):
+    return filter_audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op13_byte_bpe(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    return byte_bpe.round_trip(docs, public_tokenizers.path(RANKS), public_tokenizers.PATTERN)
+
+
 _SENTENCES = r"""unnest(string_split(regexp_replace(lower(regexp_replace(content, '\s+', ' ', 'g')),
         '([.!?]) ', '\1' || chr(1), 'g'), chr(1)))"""
 # Quotations by looking every quoted sentence up; reply chains by recursion.
@@ -107,6 +136,38 @@ c AS (SELECT id, min(other) AS component_id FROM r GROUP BY id)
 SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, c.component_id, d.doc_id = c.component_id AS kept
 FROM documents d JOIN c ON c.id = d.doc_id LEFT JOIN n ON n.doc_id = d.doc_id"""
 
+# Every document against every step of every order.
+FILTER_AUDIT = r"""WITH t AS (SELECT row_number() OVER () AS k, doc_id, coalesce(source, '') AS part, coalesce(text, '') AS text
+    FROM documents),
+w AS (SELECT *, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS ws,
+    min(doc_id) OVER (PARTITION BY text) AS least FROM t),
+f AS (SELECT doc_id, part, [len(ws) < 50, 100 * len(list_distinct(ws)) < 65 * len(ws),
+        100 * length(regexp_replace(text, '[^A-Z]', '', 'g')) > 5 * length(text),
+        regexp_matches(text, '[#$%&*|]'), coalesce(doc_id > least, false)] AS fails FROM w),
+l AS (SELECT doc_id, max(quality = 1) AS good, max(toxic = 1) AS toxic FROM labels GROUP BY doc_id),
+d AS (SELECT part, fails, count(*) AS n, count(*) FILTER (good) AS good, count(*) FILTER (toxic) AS toxic
+    FROM f LEFT JOIN l USING (doc_id) GROUP BY part, fails),
+x AS (SELECT unnest([1, 2, 3, 4, 5]) AS i),
+o AS (SELECT [a.i, b.i, c.i, e.i, g.i] AS filters, list_aggregate(list_transform([a.i, b.i, c.i, e.i, g.i],
+        lambda i: chr(64 + i)), 'string_agg', '') AS filter_order
+    FROM x a, x b, x c, x e, x g WHERE len(list_distinct([a.i, b.i, c.i, e.i, g.i])) = 5),
+s AS (SELECT *, filters[:step - 1] AS earlier, filters[step] AS f FROM (
+    SELECT *, unnest([1, 2, 3, 4, 5]) AS step FROM o)),
+r AS (SELECT part, filter_order, step, f, n, good, toxic, fails[f] AS fail,
+        len(list_filter(earlier, lambda i: fails[i])) > 0 AS gone,
+        len(list_filter(fails, lambda y: y)) = 1 AS single FROM d, s),
+g AS (SELECT part, filter_order, step, f, coalesce(sum(n) FILTER (NOT gone AND NOT fail), 0) AS kept,
+        coalesce(sum(n) FILTER (NOT gone AND fail), 0) AS removed,
+        coalesce(sum(n) FILTER (gone AND fail), 0) AS redundant,
+        coalesce(sum(n) FILTER (fail AND single), 0) AS unique_fails,
+        coalesce(sum(good) FILTER (NOT gone AND fail), 0) AS good_lost,
+        coalesce(sum(toxic) FILTER (NOT gone AND fail), 0) AS toxic_lost FROM r GROUP BY ALL)
+SELECT part, filter_order, CAST(step AS INTEGER) AS step, CAST(kept AS BIGINT) AS kept, CAST(removed AS BIGINT) AS removed,
+    CAST(redundant AS BIGINT) AS redundant, CAST(unique_fails AS BIGINT) AS unique_fails,
+    CAST(good_lost AS BIGINT) AS good_lost, CAST(toxic_lost AS BIGINT) AS toxic_lost,
+    CAST(sum(removed) OVER (PARTITION BY part, f) AS BIGINT) AS shapley
+FROM g"""
+
 QUERIES: dict[str, tuple] = {
     "op1_language_id": (op1_language_id, None),
     "op2_near_dup": (op2_near_dup, NEAR_DUPLICATES),
@@ -118,4 +179,7 @@ QUERIES: dict[str, tuple] = {
     "op8_mixing": (op8_mixing, None),
     "op9_toxicity": (op9_toxicity, None),
     "op10_neighbours": (op10_neighbours, None),
+    "op11_runs": (op11_runs, None),
+    "op12_filter_audit": (op12_filter_audit, FILTER_AUDIT),
+    "op13_byte_bpe": (op13_byte_bpe, None),
 }
