@@ -23,8 +23,8 @@ from stepwise.functions.texts import text_literal
 from stepwise.functions.times import from_micros
 from stepwise.model import HOUR_US, FunnelConfig, check_steps
 from stepwise.operators.events import timed
-from stepwise.plans.ordered import running, totals
-from stepwise.plans.skew import cut, resolve
+from stepwise.plans.ordered import AGG, beyond, cells_of, local, local_keys, running, totals, with_cells
+from stepwise.plans.skew import HOT, TIED, cut, resolve
 
 NO_ACTIVITY = "(no further activity)"
 DIRECT = "(direct conversion)"
@@ -192,10 +192,18 @@ def _pair_aggregates(
 ) -> tuple[DataFrame, dict[str, Column], dict[str, Column]]:
     """What finds one pair per user: scanned rows, the per-user aggregates p{i} and q{i},
     and the columns a{i}, b{i} (null without a pair) made from those."""
+    if mode != "unordered_first":
+        rows = _with_next_steps(rows, steps, slices, ties=mode == "unordered_any")
+    return _pair_ends(rows, steps, window, mode)
+
+
+def _pair_ends(
+    rows: DataFrame, steps: Sequence[str], window: int, mode: str
+) -> tuple[DataFrame, dict[str, Column], dict[str, Column]]:
+    """``_pair_aggregates`` of rows that know the next event of each step (columns x{i})."""
     us = F.col("us")
     aggregates: dict[str, Column] = {}
     if mode in ("first", "optimal"):
-        rows = _with_next_steps(rows, steps, slices)
         valid = _valid(steps, window)
         for i, s, _ in _pairs(steps):
             # The earliest A, or the earliest A that converts; its B is the next one.
@@ -208,7 +216,6 @@ def _pair_aggregates(
             aggregates[f"q{i}"] = F.min(_time_of(t))
     else:
         # The earliest event of either kind whose next opposite event is inside the window.
-        rows = _with_next_steps(rows, steps, slices, ties=True)
         for i, s, t in _pairs(steps):
             partner = F.when(_step(s), F.col(f"x{i + 1}")).when(_step(t), F.col(f"x{i}"))
             start = F.when(partner - us <= window, us)
@@ -293,35 +300,30 @@ def _covered(
     events: DataFrame, steps: Sequence[str], cfg: FunnelConfig, funnel_filter, slices
 ) -> DataFrame:
     """History rows with, per pair index i, ``m{i}``: in how many of the user's pairs the
-    row lies strictly inside, and ``converted{i}``: whether the row itself opens a pair."""
+    row lies strictly inside, and ``converted{i}``: whether the row itself opens a pair, or,
+    where a user has one pair at most, whether there is one."""
     rows = _history(events, funnel_filter)
     slices = resolve(rows, slices)
-    rows = cut(rows, slices)
+    mode = _pair_mode(cfg)
+    if slices is not None:
+        return _covered_sliced(rows, steps, cfg.window_us, mode, slices)
     inner = ~F.col("event_name").isin(*steps)
     us = F.col("us")
-    mode = _pair_mode(cfg)
     if mode != "every":
-        rows, aggregates, ends = _pair_aggregates(rows, steps, cfg.window_us, mode, slices)
-        rows = totals(rows, aggregates, slices=slices).withColumns(ends)
-        columns = {}
-        for i, _, _ in _pairs(steps):
-            a, b = F.col(f"a{i}"), F.col(f"b{i}")
-            within = F.coalesce(inner & (us > a) & (us < b), F.lit(False))
-            columns[f"m{i}"] = F.when(within, F.lit(1)).otherwise(F.lit(0)).cast("bigint")
-            columns[f"converted{i}"] = a.isNotNull() & b.isNotNull()
-        return rows.withColumns(columns)
+        rows, aggregates, ends = _pair_aggregates(rows, steps, cfg.window_us, mode, None)
+        return _inside_one_pair(totals(rows, aggregates).withColumns(ends), steps)
     # Re-entry: each valid A opens a pair that its next B closes.  At an inner event the
     # open pairs are the valid A events since the last B, all of which share the next B.
-    rows = _with_next_steps(rows, steps, slices)
+    rows = _with_next_steps(rows, steps, None)
     opened = {
         f"o{i}": ("sum", F.when(valid, F.lit(1)).otherwise(F.lit(0)).cast("bigint"))
         for i, valid in _valid(steps, cfg.window_us).items()
     }
-    rows = running(rows, opened, side="before", slices=slices)
+    rows = running(rows, opened, side="before")
     closed = {
         f"z{i}": ("max", F.when(_step(t), F.col(f"o{i}"))) for i, _, t in _pairs(steps)
     }
-    rows = running(rows, closed, side="before", ties=True, slices=slices)
+    rows = running(rows, closed, side="before", ties=True)
     valid = _valid(steps, cfg.window_us)
     columns = {}
     for i, _, _ in _pairs(steps):
@@ -331,6 +333,181 @@ def _covered(
     return rows.withColumns(columns)
 
 
+def _inside_one_pair(rows: DataFrame, steps: Sequence[str]) -> DataFrame:
+    inner, us = ~F.col("event_name").isin(*steps), F.col("us")
+    columns = {}
+    for i, _, _ in _pairs(steps):
+        a, b = F.col(f"a{i}"), F.col(f"b{i}")
+        within = F.coalesce(inner & (us > a) & (us < b), F.lit(False))
+        columns[f"m{i}"] = within.cast("bigint")
+        columns[f"converted{i}"] = a.isNotNull() & b.isNotNull()
+    return rows.withColumns(columns)
+
+
+# Hot users.  Which pair a row lies in depends on rows of other slices in two ways: on what is
+# next or last there, and on which A events lie inside the window of a B that is far away.  The
+# second question becomes one of the first kind by an *expiry* row for each step event, one
+# window after it: an A event can still convert at a B if its expiry is not over.  So one table
+# of slices is enough, and rows are read twice whatever the number of steps.
+
+_EXPIRY = "_expiry"
+
+
+def _with_expiries(rows: DataFrame, steps: Sequence[str], window: int) -> DataFrame:
+    step = F.col("in_funnel") & F.col("event_name").isin(*steps)
+    kinds = F.when(step, F.array(F.lit(False), F.lit(True))).otherwise(F.array(F.lit(False)))
+    late = F.col("us") + F.when(F.col(_EXPIRY), window).otherwise(0)
+    return rows.withColumn(_EXPIRY, F.explode(kinds)).withColumn("us", late)
+
+
+def _covered_sliced(
+    rows: DataFrame, steps: Sequence[str], window: int, mode: str, slices
+) -> DataFrame:
+    if mode in ("every", "unordered_any"):
+        rows = _with_expiries(rows, steps, window)
+    else:
+        rows = rows.withColumn(_EXPIRY, F.lit(False))
+    rows = cut(rows, slices)
+    if mode == "every":
+        rows = _open_pairs(rows, steps, slices)
+    elif mode == "unordered_any":
+        rows = _inside_earliest_pair(rows, steps, window, slices)
+    else:
+        rows = _inside_one_pair(_first_pairs(rows, steps, window, mode, slices), steps)
+    columns = [f"{c}{i}" for i, _, _ in _pairs(steps) for c in ("m", "converted")]
+    return rows.filter(~F.col(_EXPIRY)).select("user_id", "event_name", *columns)
+
+
+def _is(name: str) -> Column:
+    return _step(name) & ~F.col(_EXPIRY)
+
+
+def _expires(name: str) -> Column:
+    return _step(name) & F.col(_EXPIRY)
+
+
+def _open_pairs(rows: DataFrame, steps: Sequence[str], slices) -> DataFrame:
+    """Re-entry.  A events are numbered in time.  Open at a row are those before it that are
+    neither at nor before the number reached at the last B, nor expired at the next B."""
+    part, pairs = local_keys(slices), _pairs(steps)
+    count = {}
+    for i, s, _ in pairs:
+        count[f"p{i}"] = ("sum", _is(s).cast("bigint"))
+        count[f"e{i}"] = ("sum", _expires(s).cast("bigint"))
+    rows = local(rows, count, side="before", part=part)
+    last = {f"z{i}": ("max", F.when(_is(t), F.col(f"p{i}"))) for i, _, t in pairs}
+    following = {f"x{i}": ("min", F.when(_is(t), F.col(f"e{i}"))) for i, _, t in pairs}
+    rows = local(rows, last, side="before", ties=True, part=part)
+    rows = local(rows, following, side="after", part=part)
+    sums = {f"_{n}": F.sum(value) for n, (_, value) in count.items()}
+    ends = {f"_{n}": AGG[how](value) for n, (how, value) in {**last, **following}.items()}
+    cells = cells_of(rows, {**sums, **ends})
+    # Numbers count from the slice's start; make them count from the user's.
+    cells = cells.withColumns(
+        {n: F.coalesce(beyond(F.sum, F.col(n), side="before"), F.lit(0)) for n in sums}
+    )
+    for i, _, _ in pairs:
+        reached, expired = F.col(f"_z{i}") + F.col(f"_p{i}"), F.col(f"_x{i}") + F.col(f"_e{i}")
+        cells = cells.withColumns(
+            {
+                f"_z{i}": beyond(F.max, reached, side="before", ties=True),
+                f"_x{i}": beyond(F.min, expired, side="after"),
+            }
+        )
+    rows = with_cells(rows, cells)
+    inner = ~F.col("event_name").isin(*steps)
+    columns = {}
+    for i, s, _ in pairs:
+        p0, e0 = F.coalesce(f"_p{i}", F.lit(0)), F.coalesce(f"_e{i}", F.lit(0))
+        seen = F.col(f"p{i}") + p0
+        closed = F.coalesce(F.greatest(F.col(f"z{i}") + p0, F.col(f"_z{i}")), F.lit(0))
+        gone = F.least(F.col(f"x{i}") + e0, F.col(f"_x{i}"))
+        open_now = F.when(gone.isNotNull(), F.greatest(F.lit(0), seen - F.greatest(closed, gone)))
+        columns[f"m{i}"] = F.when(inner, open_now).cast("bigint")
+        columns[f"converted{i}"] = _is(s) & F.coalesce(gone <= seen, F.lit(False))
+    return rows.withColumns(columns).fillna(0, [f"m{i}" for i, _, _ in pairs])
+
+
+def _of_user(
+    rows: DataFrame,
+    own: dict[str, Column],
+    cells: DataFrame,
+    far: dict[str, Column],
+    slices,
+    others: Sequence[str] = (),
+) -> DataFrame:
+    """The rows with aggregates over their user: those of its one slice or, for a hot user,
+    those over its slices.  Other columns of the slices come along."""
+    user = Window.partitionBy("user_id")
+    cells = cells.withColumns({f"_u_{n}": c.over(user) for n, c in far.items()})
+    cells = cells.select(*local_keys(slices), TIED, *[f"_u_{n}" for n in far], *others)
+    rows = with_cells(totals(rows, own, keys=local_keys(slices)), cells)
+    return rows.withColumns({n: F.when(F.col(HOT), F.col(f"_u_{n}")).otherwise(F.col(n)) for n in far})
+
+
+def _first_pairs(rows: DataFrame, steps: Sequence[str], window: int, mode: str, slices) -> DataFrame:
+    """First only: the earliest A with the next B (ordered), or with the earliest B."""
+    pairs = _pairs(steps)
+    if mode == "first":
+        nexts = {f"x{i}": ("min", _time_of(s)) for i, s in enumerate(steps) if i}
+        rows = local(rows, nexts, side="after", part=local_keys(slices))
+    rows, own, ends = _pair_ends(rows, steps, window, mode)
+    cells = cells_of(rows, {**own, **{f"b{i}": F.min(_time_of(t)) for i, _, t in pairs}})
+    far = {}
+    for i, _, _ in pairs:
+        p, q = F.col(f"p{i}"), F.col(f"q{i}")
+        far[f"p{i}"], far[f"q{i}"] = F.min(p), F.min(q)
+        if mode == "first":
+            following = F.least(q, beyond(F.min, F.col(f"b{i}"), side="after"))
+            cells = cells.withColumn(f"_q{i}", following)
+            far[f"q{i}"] = F.min_by(f"_q{i}", p)
+    return _of_user(rows, own, cells, far, slices).withColumns(ends)
+
+
+def _inside_earliest_pair(rows: DataFrame, steps: Sequence[str], window: int, slices) -> DataFrame:
+    """Unordered re-entry.  The earliest A with a B at most a window later is the earliest that
+    some B finds unexpired; likewise with the kinds exchanged.  The pair ends with the first
+    event of the other kind at or after its start."""
+    part, pairs, us = local_keys(slices), _pairs(steps), F.col("us")
+    expiry = {f"x{i}": ("min", F.when(_expires(s), us)) for i, s in enumerate(steps)}
+    last = {f"l{i}": ("max", F.when(_is(s), us)) for i, s in enumerate(steps)}
+    rows = local(rows, expiry, side="after", ties=True, part=part)
+    rows = local(rows, last, side="before", ties=True, part=part)
+    own, late = {}, {}
+    for i, s, t in pairs:
+        for name, opens, closes in ((f"p{i}", i, t), (f"q{i}", i + 1, s)):
+            start = F.col(f"x{opens}") - window
+            own[name] = F.min(F.when(_is(closes) & (start <= us), start))
+            # Rows whose unexpired partner, if any, is that of the slice's end.
+            late[f"_{name}"] = F.max(F.when(_is(closes) & F.col(f"x{opens}").isNull(), us))
+    scans = {f"_{n}": AGG[how](value) for n, (how, value) in {**expiry, **last}.items()}
+    cells = cells_of(rows, {**own, **late, **scans})
+    cells = cells.withColumns(
+        {
+            **{f"_{n}": beyond(F.min, F.col(f"_{n}"), side="after", ties=True) for n in expiry},
+            **{f"_{n}": beyond(F.max, F.col(f"_{n}"), side="before", ties=True) for n in last},
+        }
+    )
+    far = {}
+    for i, _, _ in pairs:
+        for name, opens in ((f"p{i}", i), (f"q{i}", i + 1)):
+            start = F.col(f"_x{opens}") - window
+            found = F.least(F.col(name), F.when(start <= F.col(f"_{name}"), start))
+            cells, far[name] = cells.withColumn(name, found), F.min(name)
+    rows = _of_user(rows, own, cells, far, slices, [f"_{n}" for n in last])
+    rows = rows.withColumns({n: F.greatest(F.col(n), F.col(f"_{n}")) for n in last})
+    inner, columns = ~F.col("event_name").isin(*steps), {}
+    for i, _, _ in pairs:
+        p, q = F.col(f"p{i}"), F.col(f"q{i}")
+        # Where both kinds start together the pair has no inside.
+        by_a = (us > p) & ((p < q) | q.isNull()) & (F.coalesce(F.col(f"l{i + 1}") < p, F.lit(True)))
+        by_b = (us > q) & ((q < p) | p.isNull()) & (F.coalesce(F.col(f"l{i}") < q, F.lit(True)))
+        within = F.coalesce(inner & (F.coalesce(by_a, F.lit(False)) | F.coalesce(by_b, F.lit(False))), F.lit(False))
+        columns[f"m{i}"] = within.cast("bigint")
+        columns[f"converted{i}"] = p.isNotNull() | q.isNotNull()
+    return rows.withColumns(columns)
+
+
 def between_events(
     events: DataFrame,
     steps: Sequence[str],
@@ -348,41 +525,39 @@ def between_events(
     """
     steps = check_steps(steps)
     rows = _covered(events, steps, cfg, funnel_filter, slices)
+    counts = _between_counts(rows, steps, include_direct)
+    if top is not None:
+        counts = _ranked(counts, ["pair_idx"], top)
+    return counts.select("step_pair", "event", "n")
+
+
+def _between_counts(rows: DataFrame, steps: Sequence[str], include_direct: bool) -> DataFrame:
     pairs = _pairs(steps)
-    # One row per user and event name; what follows windows over those few rows per user.
-    per_name = rows.groupBy("user_id", "event_name").agg(
+    # One row per user and event name and one per user, from one pass: a user with very many
+    # names is many small groups.
+    sets = [["user_id", "event_name"], ["user_id"]] if include_direct else [["user_id", "event_name"]]
+    grouped = rows.groupingSets(sets, "user_id", "event_name").agg(
+        F.grouping_id().alias("whole_user"),
         *[F.sum(f"m{i}").alias(f"m{i}") for i, _, _ in pairs],
         *[F.bool_or(f"converted{i}").alias(f"converted{i}") for i, _, _ in pairs],
     )
-    user = Window.partitionBy("user_id")
-    per_name = per_name.withColumns(
-        {
-            "leads": F.row_number().over(user.orderBy("event_name")) == 1,
-            **{f"inside{i}": F.sum(f"m{i}").over(user) for i, _, _ in pairs},
-            **{f"any{i}": F.max(f"converted{i}").over(user) for i, _, _ in pairs},
-        }
-    )
-    entries = []
+    whole, entries = F.col("whole_user") == 1, []
     for i, s, t in pairs:
-        name = text_literal(f"{s} → {t}")
+        direct = F.when(F.col(f"converted{i}") & (F.col(f"m{i}") == 0), 1).otherwise(0)
         entries.append(
-            f"named_struct('pair_idx', {i}, 'step_pair', {name}, 'event', event_name, 'n', m{i})"
-        )
-        if include_direct:
-            direct = f"IF(leads AND any{i} AND inside{i} = 0, 1L, 0L)"
-            entries.append(
-                f"named_struct('pair_idx', {i}, 'step_pair', {name}, "
-                f"'event', {text_literal(DIRECT)}, 'n', {direct})"
+            F.struct(
+                F.lit(i).alias("pair_idx"),
+                F.lit(f"{s} → {t}").alias("step_pair"),
+                F.when(whole, F.lit(DIRECT)).otherwise(F.col("event_name")).alias("event"),
+                F.when(whole, direct).otherwise(F.col(f"m{i}")).cast("bigint").alias("n"),
             )
-    counts = (
-        per_name.selectExpr(f"inline(array({', '.join(entries)}))")
+        )
+    return (
+        grouped.select(F.inline(F.array(*entries)))
         .filter("n > 0")
         .groupBy("pair_idx", "step_pair", "event")
         .agg(F.sum("n").alias("n"))
     )
-    if top is not None:
-        counts = _ranked(counts, ["pair_idx"], top)
-    return counts.select("step_pair", "event", "n")
 
 
 def path_summary(

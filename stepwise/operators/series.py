@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from stepwise.functions.times import from_micros, period_end, period_start
 from stepwise.model import FunnelConfig, check_steps
 from stepwise.operators.events import require_order, step_events, timed
-from stepwise.plans.ordered import running
+from stepwise.plans.ordered import ahead
 from stepwise.plans.skew import cut, resolve
 
 
@@ -20,18 +20,6 @@ def _rows(events: DataFrame, steps: Sequence[str]) -> DataFrame:
     return rows.select("user_id", "event_name", "us", "timestamp", *extra)
 
 
-def _path_ends(rows: DataFrame, steps: Sequence[str], slices) -> tuple[DataFrame, Column]:
-    """Rows with the time at which the path that takes the next event of each following
-    step, in (time, ord) order, is complete.  The time is carried backwards from the last
-    step, one scan per step over the same sorted rows."""
-    ends = F.col("us")
-    for i in range(len(steps) - 1, 0, -1):
-        scan = {f"end{i}": ("min", F.when(F.col("event_name") == steps[i], ends))}
-        rows = running(rows, scan, side="after", by="row", slices=slices)
-        ends = F.col(f"end{i}")
-    return rows, ends
-
-
 def _per_user(
     events: DataFrame,
     steps: Sequence[str],
@@ -52,19 +40,19 @@ def _per_user(
         require_order(rows)
     slices = resolve(rows, slices)
     nexts = {
-        f"x{i}": ("min", F.when(F.col("event_name") == s, F.col("us")))
-        for i, s in enumerate(steps)
-        if i > 0
+        f"x{i}": F.when(F.col("event_name") == s, F.col("us")) for i, s in enumerate(steps) if i > 0
     }
-    ahead = running(cut(rows, slices), nexts, side="after", ties=True, slices=slices)
+    whole_path = strict and not cfg.unordered
+    path = [F.col("event_name") == s for s in steps[1:]] if whole_path else []
+    rows = ahead(cut(rows, slices), nexts, path, slices=slices)
     ends = None
-    if strict and not cfg.unordered:
-        ahead, ends = _path_ends(ahead, steps, slices)
+    if whole_path:
+        ends = F.col("end") if path else F.col("us")
     start_row = F.col("event_name") == steps[0]
     inside = F.col("timestamp") < period_end("period", period, legacy_month)
     # The next occurrence after the earliest start is the smallest of the next occurrences.
     grouped = (
-        ahead.withColumn("period", period_start("timestamp", period))
+        rows.withColumn("period", period_start("timestamp", period))
         .groupBy("user_id", "period")
         .agg(
             F.count(F.lit(1)).alias("n"),

@@ -26,6 +26,13 @@ def new_folder(spark: SparkSession) -> str:
     return f"{shared_root(spark)}/stepwise-{uuid.uuid4().hex}"
 
 
+def stored(df: DataFrame) -> DataFrame:
+    """The rows written to a Parquet table in the shared folder and read back."""
+    folder = new_folder(df.sparkSession)
+    df.write.parquet(folder)
+    return df.sparkSession.read.schema(df.schema).parquet(folder)
+
+
 def materialised(df: DataFrame) -> DataFrame:
     """The table read back from the shared folder, so that iterations and lost executors do not
     recompute its source."""

@@ -1,31 +1,37 @@
 """Cutting hot users into slices.
 
 Ordered work is partitioned by user, so one user holding a large share of all rows would
-become one task.  ``measure`` counts rows per user and, for users above a bound only, takes
-time quantiles that cut the user's history into slices below the bound.  A moment that
-alone exceeds the bound becomes a slice of one microsecond, split further by ``ord``.
-
-The cut points are about ``4 * rows / max_rows`` numbers in total, whatever the number of
-hot users; that bound is what makes collecting and broadcasting them safe.  They are
-collected once, so every use of them in a plan agrees.  All other users keep one slice,
-and when nobody is hot the plans carry no trace of this module.
+become one task.  ``measure`` counts rows per user and, for users above a bound only, cuts
+the user's history into slices below the bound.  A moment that alone exceeds the bound
+becomes a slice of one microsecond, split further by ``ord``.
+
+Hot users and cut points stay tables; no row of them reaches the driver.  The hot users'
+moments are counted, put in order by ranges (``ranks``), and a moment whose running count
+passes a multiple of the slice size is a cut point.  There are at most ``GRID`` cut points:
+where rows ask for more, slices grow, so what is broadcast to cut the rows is bounded
+whatever the table.  All other users keep one slice, and when nobody is hot the plans carry
+no trace of this module.
 """
 
 from __future__ import annotations
 
-from collections import defaultdict
 from collections.abc import Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from stepwise.plans.lineage import stored
+from stepwise.plans.ranks import sums_before
+
 MAX_ROWS = 2_000_000
-# A table estimated below this fits in one task whole, so no user in it can be too large.
-SMALL_BYTES = 64 << 20
-# Quantile steps per max_rows: leaves room for the error of the quantiles.
+# Cut points are this many times as dense as max_rows asks for: a slice ends with the moment
+# that passes its size.
 STEPS_PER_SLICE = 4
-MAX_STEP_BITS = 20
+# Cut points of all keys together, at most: 8 MB of numbers.
+GRID = 1 << 20
+# Files whose row counts the driver reads itself; more are counted by a job.
+FOOTERS = 32
 
 SLICE_TIME = "_slice_time"
 SLICE_ROW = "_slice_row"
@@ -41,16 +47,14 @@ class Slices:
     grid: DataFrame
     keys: tuple[str, ...]
     max_rows: int
-    longest: int
 
     def cut(self, df: DataFrame) -> DataFrame:
         """Add the slice columns: ``_slice_time`` counts the cut points up to the row's
         time, ``_slice_row`` splits rows that share one microsecond or have no time."""
         # Binary search: halving jumps over the sorted cut points, null past the end.
-        jumps = ", ".join(str(1 << b) for b in reversed(range(self.longest.bit_length())))
         place = (
-            f"aggregate(array({jumps}), -1, (i, jump) -> "
-            "IF(get(_cuts, i + jump) <= us, i + jump, i))"
+            "aggregate(sequence(length(bin(size(_cuts))) - 1, 0), -1, (i, bit) -> "
+            "IF(get(_cuts, i + shiftleft(1, bit)) <= us, i + shiftleft(1, bit), i))"
         )
         row_cell = f"ord div {self.max_rows}" if "ord" in df.columns else "0L"
         return (
@@ -71,12 +75,31 @@ class Slices:
         )
 
 
-def plan_bytes(df: DataFrame) -> int | None:
-    """Catalyst's size estimate of a plan, or None where the session does not expose it."""
-    try:
-        return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    except AttributeError:
+# Plan nodes that never give more rows than they take.
+_SHRINKING = {"Project", "Filter", "Sort", "Aggregate", "Window", "Distinct", "RepartitionByExpression", "SubqueryAlias"}
+
+
+def rows_at_most(df: DataFrame) -> int | None:
+    """A bound on the rows of a table, from the row counts in the footers of its Parquet files,
+    or None where that takes a job: many files, other formats, or a plan that may add rows."""
+    if not hasattr(df, "_jdf"):
         return None
+    node = df._jdf.queryExecution().optimizedPlan()
+    while node.children().size() == 1 and node.nodeName() in _SHRINKING:
+        node = node.children().head()
+    if node.children().size() or node.nodeName() != "LogicalRelation":
+        return None
+    files = df.inputFiles()
+    if len(files) > FOOTERS or not all(name.endswith(".parquet") for name in files):
+        return None
+    jvm, conf = df.sparkSession._jvm, df.sparkSession._jsc.hadoopConfiguration()
+    parquet, path = jvm.org.apache.parquet.hadoop, jvm.org.apache.hadoop.fs.Path
+    rows = 0
+    for name in files:
+        reader = parquet.ParquetFileReader.open(parquet.util.HadoopInputFile.fromPath(path(name), conf))
+        rows += reader.getRecordCount()
+        reader.close()
+    return rows
 
 
 def cut(df: DataFrame, slices: Slices | None) -> DataFrame:
@@ -90,60 +113,39 @@ def resolve(
     return measure(df, keys=keys) if slices == "auto" else slices
 
 
-def _cut_points(quantiles: Sequence[int]) -> list[int]:
-    """Distinct quantiles; one that repeats is a crowded moment and gets a slice alone."""
-    points = set(quantiles)
-    points |= {a + 1 for a, b in zip(quantiles, quantiles[1:]) if a == b}
-    return sorted(points)
-
-
 def measure(
     df: DataFrame,
     *,
     keys: Sequence[str] = ("user_id",),
     max_rows: int = MAX_ROWS,
-    force: bool = False,
 ) -> Slices | None:
     """Find hot keys of ``df`` (needs the key columns and ``us``); None when there are none.
 
-    Tables that Catalyst estimates as small are not measured.  Otherwise this runs one
-    counting job, and quantile jobs over the hot keys' rows if there are any.  Callers that
-    run several operators over the same events can measure once and pass the result on.
+    Tables of at most max_rows rows have none.  Otherwise this runs one counting job, and jobs
+    over the hot keys' moments if there are any.  Callers that run several operators over the
+    same events can measure once and pass the result on.
     """
     keys = tuple(keys)
-    if not force:
-        size = plan_bytes(df)
-        if size is not None and size <= SMALL_BYTES:
-            return None
-    narrow = df.select(*keys, "us")
+    most = rows_at_most(df)
+    if most is not None and most <= max_rows:
+        return None
+    # Rows without a key stay together: no operator follows them through time.
+    narrow = df.select(*keys, "us").dropna(subset=list(keys))
+    counts = narrow.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
     # At most rows / max_rows rows.
-    hot = (
-        narrow.groupBy(*keys)
-        .agg(F.count(F.lit(1)).alias("n"))
-        .filter(F.col("n") > max_rows)
-        .collect()
-    )
-    if not hot:
+    hot = stored(counts.filter(F.col("_n") > max_rows))
+    if hot.isEmpty():
         return None
-    types = {f.name: f.dataType.simpleString() for f in df.schema.fields}
-    schema = ", ".join(f"`{k}` {types[k]}" for k in keys)
-    spark = df.sparkSession
-    # Users needing about the same number of quantiles share one job.
-    classes = defaultdict(list)
-    for r in hot:
-        steps = -(-r["n"] * STEPS_PER_SLICE // max_rows)
-        classes[min(MAX_STEP_BITS, (steps - 1).bit_length())].append(tuple(r[k] for k in keys))
-    rows = []
-    for bits, members in classes.items():
-        steps = 1 << bits
-        shares = ", ".join(f"{i / steps!r}D" for i in range(1, steps))
-        mine = F.broadcast(spark.createDataFrame(members, schema))
-        found = (
-            narrow.join(mine, list(keys))
-            .groupBy(*keys)
-            .agg(F.expr(f"percentile_approx(us, array({shares}), {max(10_000, 20 * steps)})"))
-            .collect()
-        )
-        rows += [(*r[:-1], _cut_points(r[-1] or [])) for r in found]
-    grid = spark.createDataFrame(rows, f"{schema}, _cuts array<bigint>")
-    return Slices(grid, keys, max_rows, max(1, *[len(r[-1]) for r in rows]))
+    asked, room = F.lit(max(1, max_rows // STEPS_PER_SLICE)), F.lit(GRID / 3)
+    step = F.greatest(asked, F.ceil(hot.agg(F.sum("_n").alias("n")).scalar() / room))
+    chosen = narrow.filter("us IS NOT NULL").join(hot.select(*keys), list(keys), "left_semi")
+    moments = chosen.groupBy(*keys, "us").agg(F.count(F.lit(1)).alias("_n")).withColumn("_step", step)
+    placed = sums_before(moments, ["us"], "_before", F.col("_n"), keys)
+    # A moment opens a slice if the running count passes a multiple of the step with it; a
+    # crowded moment is a slice of its own.
+    opens = F.expr("(_before + _n) div _step > _before div _step")
+    points = placed.filter(opens).select(
+        *keys, F.explode(F.expr("IF(_n >= _step, array(us, us + 1), array(us))")).alias("_cut")
+    )
+    grid = stored(points.groupBy(*keys).agg(F.sort_array(F.collect_set("_cut")).alias("_cuts")))
+    return Slices(grid, keys, max_rows)

@@ -227,7 +227,7 @@ def test_hot_user_is_cut_and_counts_stay(make, users):
     rows += [("hot", "B", 500)] * 60 + [("hot", "C", 501)]
     rows += [(f"u{i}", s, t) for i in range(5) for s, t in (("A", 0), ("B", 30), ("C", 40 + i))]
     events = make(rows)
-    slices = measure(timed(events), max_rows=20, force=True)
+    slices = measure(timed(events), max_rows=20)
     assert [r["user_id"] for r in slices.grid.collect()] == ["hot"]
     cells = slices.cut(timed(events)).groupBy("user_id", "_slice_time", "_slice_row").count()
     assert cells.agg(F.max("count")).first()[0] <= 20

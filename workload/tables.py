@@ -102,4 +102,4 @@ def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
 def hot_slices(spark: SparkSession, events_df: DataFrame, max_rows: int, keys=("user_id",)):
     """Measure with a tiny bound, so that every user is cut as a hot user would be."""
     rows = timed(events_df)
-    return measure(rows, keys=keys, max_rows=max_rows, force=True)
+    return measure(rows, keys=keys, max_rows=max_rows)
