@@ -209,9 +209,8 @@ _FOUND = {"query_id": "int64", "vec_id": "int64", "score": "float64"}
 
 
 def _nearest(nearest: int):
-    # Matrix products round otherwise than the sums in order, so more than are asked for are
-    # taken by them: a vector has nearest + 1 rows at most, so ties at the border fit in.
-    spare = 2 * nearest + 8
+    # Matrix products round otherwise than the sums in order.  Every row at or above the last
+    # product asked for, less what rounding can make of it, is compared in the exact order.
 
     def compare(queries: pd.DataFrame, rows: pd.DataFrame) -> pd.DataFrame:
         out = [pd.DataFrame({name: pd.Series(dtype=kind) for name, kind in _FOUND.items()})]
@@ -225,10 +224,12 @@ def _nearest(nearest: int):
                 names, q = part["vec_id"].to_numpy(), np.stack(part["v"].tolist())
                 near = q @ x.T
                 near[names[:, None] == ids] = -np.inf
-                keep = np.arange(len(ids))[None, :].repeat(len(q), 0)
-                if len(ids) > spare:
-                    keep = np.argpartition(-near, spare - 1, axis=1)[:, :spare]
-                who, what = np.repeat(np.arange(len(q)), keep.shape[1]), keep.ravel()
+                keep = np.ones(near.shape, bool)
+                if len(ids) > nearest:
+                    border = -np.partition(-near, nearest - 1, axis=1)[:, nearest - 1 : nearest]
+                    longest = np.linalg.norm(q, axis=1, keepdims=True) * np.linalg.norm(x, axis=1).max()
+                    keep = ~(near < border - 4 * width * np.finfo(float).eps * longest)
+                who, what = np.nonzero(keep)
                 other = names[who] != ids[what]
                 who, what = who[other], what[other]
                 score = products(q[who], x[what])

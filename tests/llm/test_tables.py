@@ -196,6 +196,14 @@ def test_recall_against_brute_force(vectors):
     assert len(same) > 5 and same == [i for i in range(100, 121) if i != 120][: len(same)]
 
 
+def test_ties_go_to_the_smaller_id(spark):
+    """Far more different vectors than asked for share the largest product."""
+    rows = [(i, [1.0, float(i)] if i else [1.0, 0.0]) for i in range(400)]
+    table = spark.createDataFrame(rows[::-1], "vec_id long, embedding array<double>")
+    found = neighbours.search(table, table.where("vec_id = 0")).orderBy("rank").collect()
+    assert [(r["vec_id"], r["score"]) for r in found] == [(i, 1.0) for i in range(1, 21)]
+
+
 def test_few_vectors(spark):
     rows = [(0, [1.0, 0.0]), (1, [0.5, 0.5]), (2, [2.0, 0.0]), (3, [1.0, 1.0, 1.0]), (20, [0.5, 0.5])]
     table = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
