@@ -1,9 +1,10 @@
 """Words of many texts at once, as hashes over the UTF-8 bytes of an Arrow column.
 
 A batch's texts lie in one byte buffer.  Words are runs of bytes other than white space
-(``\\x20`` and ``\\x09-\\x0D``); a word's hash is a polynomial over its bytes, read off one
-running sum, so that hashes of prefixes cost no further pass.  Buffers are worked on in
-blocks that end at white space or at the end of a text: memory follows the block, not the text.
+(``\\x20`` and ``\\x09-\\x0D``); a word's hash joins two polynomials over its bytes modulo the
+prime 2 ** 31 - 1, read off running sums, so that hashes of prefixes cost no further pass.  (Modulo
+a power of two, some long words would collide for every base.)  Buffers are worked on in blocks
+that end at white space or at the end of a text: memory follows the block, not the text.
 """
 
 from __future__ import annotations
@@ -39,19 +40,27 @@ SPACE = np.zeros(256, bool)
 SPACE[[9, 10, 11, 12, 13, 32]] = True
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
-BYTE = seeds(256)
-BASE = 0xD6E8FEB86659FD93
-BASE_INVERSE = pow(BASE, -1, 1 << 64)
+PRIME = (1 << 31) - 1
+# Two bases, each with its own values of the 256 bytes.
+BASES = (0x2545F491, 0x5851F42D)
+BYTES = tuple(seeds(256, 1 + 256 * i) % np.uint64(PRIME) for i in range(len(BASES)))
 _powers: dict[int, np.ndarray] = {}
 
 
+def folded(x: np.ndarray) -> np.ndarray:
+    """The same values modulo ``PRIME``, below 2 ** 33."""
+    return (x & np.uint64(PRIME)) + (x >> np.uint64(31))
+
+
 def powers(base: int, n: int) -> np.ndarray:
-    """base ** 0..n-1, modulo 2 ** 64; kept per process."""
+    """base ** 0..n-1, modulo ``PRIME``; kept per process."""
     known = _powers.get(base)
     if known is None or len(known) < n:
-        steps = np.full(max(n, BLOCK + 1), base, np.uint64)
-        steps[0] = 1
-        known = _powers[base] = np.cumprod(steps, dtype=np.uint64)
+        known = np.ones(1, np.uint64)
+        while len(known) < max(n, BLOCK + 1):
+            step = np.uint64(pow(base, len(known), PRIME))
+            known = np.concatenate([known, known * step % np.uint64(PRIME)])
+        _powers[base] = known
     return known[:n]
 
 
@@ -108,14 +117,17 @@ class Words:
     starts: np.ndarray
     ends: np.ndarray
     texts: np.ndarray
-    sums: np.ndarray
+    sums: tuple[np.ndarray, ...]
     at: int
 
     def hashes(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
         """Hashes of byte ranges of the block, equal for equal bytes."""
-        back = powers(BASE_INVERSE, len(self.sums))
-        value = (self.sums[ends] - self.sums[starts]) * back[starts]
-        return mix(value + (ends - starts).astype(np.uint64) * np.uint64(GOLDEN))
+        prime, joined = np.uint64(PRIME), np.zeros(len(starts), np.uint64)
+        for base, sums in zip(BASES, self.sums, strict=True):
+            back = powers(pow(base, -1, PRIME), len(sums))
+            value = (sums[ends] - sums[starts]) % prime * back[starts] % prime
+            joined = (joined << np.uint64(31)) | value
+        return mix(joined + (ends - starts).astype(np.uint64) * np.uint64(GOLDEN))
 
 
 def word_blocks(
@@ -140,8 +152,9 @@ def word_blocks(
         after[borders[borders > 0] - 1] = True
         ends = np.flatnonzero(inside & after) + 1
         texts = np.searchsorted(offsets, starts + low, "right") - 1
-        sums = np.zeros(len(piece) + 1, np.uint64)
-        np.cumsum(BYTE[piece] * powers(BASE, len(piece)), dtype=np.uint64, out=sums[1:])
+        sums = tuple(np.zeros(len(piece) + 1, np.uint64) for _ in BASES)
+        for base, values, out in zip(BASES, BYTES, sums, strict=True):
+            np.cumsum(folded(values[piece] * powers(base, len(piece))), dtype=np.uint64, out=out[1:])
         yield Words(piece, starts, ends, texts, sums, low)
 
 

@@ -86,3 +86,11 @@ def test_components_of_long_chain_and_star(spark):
     got = {r["node"]: r["root"] for r in components(table).collect()}
     assert got == {i: 0 for i in range(301)} | {i: 1000 for i in range(1000, 1200)}
     assert components(table.limit(0)).count() == 0
+
+
+def test_long_unlike_words_are_not_linked(documents):
+    one = "a"
+    for _ in range(11):
+        one += one.translate(str.maketrans("ab", "ba"))
+    out = near_dup.near_duplicates(documents([(1, one, "en", "a"), (2, one.translate(str.maketrans("ab", "ba")), "en", "a")]))
+    assert sorted(r["component_id"] for r in out.collect()) == [1, 2]

@@ -33,6 +33,21 @@ def test_words_are_encoded_as_texts_are(tokenizer):
     assert got == expected(tokenizer, texts)
 
 
+def thue_morse(letters: str, doublings: int) -> str:
+    word = letters[0]
+    for _ in range(doublings):
+        word += "".join(letters[1] if c == letters[0] else letters[0] for c in word)
+    return word
+
+
+def test_words_that_collide_modulo_powers_of_two(tokenizer):
+    texts = [thue_morse(letters, 12) for letters in ("ab", "ba")]
+    hashes, _ = textscan.word_hashes(*textscan.text_bytes(pa.array(texts)))
+    assert hashes[0] != hashes[1]
+    ids, ends = tokenise.documents(pa.array(texts), tokenizer)
+    assert [ids[a:b].tolist() for a, b in zip(ends[:-1], ends[1:], strict=True)] == expected(tokenizer, texts)
+
+
 def test_memory_of_words_is_bounded(tokenizer, monkeypatch):
     monkeypatch.setattr(tokenise, "MOST_WORDS", 5)
     texts = [f"word{i} other{i}" for i in range(30)]
