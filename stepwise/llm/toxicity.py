@@ -37,6 +37,8 @@ TEXTS = 4000
 BYTES = 10 << 20
 BUCKETS = 1 << 20
 CHAIN = 48
+# Chains whose marginals are computed at once.
+TOGETHER = 1 << 13
 # A telling feature is this many times as frequent in toxic texts, and its likelihood-ratio
 # statistic exceeds what chance reaches among all features by this margin.
 TELLING, MARGIN = 6.0, 10.0
@@ -151,8 +153,14 @@ class Model:
     calibration: np.ndarray
 
     def marginals(self, found: Tokens) -> np.ndarray:
-        odds = self.weights[found.features].sum(axis=1) + self.bias
-        return Chains(found.chain_starts, len(odds)).marginals(odds, self.moves)[0]
+        """P(toxic) of each token, for some thousand chains at a time."""
+        toxic, borders = np.zeros(len(found.texts)), np.append(found.chain_starts, len(found.texts))
+        for first in range(0, len(borders) - 1, TOGETHER):
+            some = borders[first : first + TOGETHER + 1]
+            low, high = some[0], some[-1]
+            odds = self.weights[found.features[low:high]].sum(axis=1) + self.bias
+            toxic[low:high] = Chains(some[:-1] - low, len(odds)).marginals(odds, self.moves)[0]
+        return toxic
 
 
 def document_features(toxic: np.ndarray, owner: np.ndarray, texts: int) -> np.ndarray:
@@ -222,18 +230,18 @@ def fit(texts: pa.Array, toxic_text: np.ndarray) -> Model:
     follows[starts] = False
     pairs = np.flatnonzero(follows)
     seen_moves = np.bincount(2 * label[pairs - 1] + label[pairs], minlength=4).reshape(2, 2)
-    flat = features.ravel()
-    used = np.unique(flat)
-    spot = np.searchsorted(used, flat)
+    used = np.unique(features)
+    spots = [np.searchsorted(used, column).astype(np.int32) for column in features.T]
+    del features
     squares = [np.zeros(len(used)), 0.0, np.zeros((2, 2))]
     active = np.zeros(len(used))
     scale = max(1, len(label))
     # Adagrad on the mean log-likelihood with a small decay of the weights.
     for _ in range(STEPS if label.any() else 0):
-        odds = active[spot].reshape(-1, FEATURES).sum(axis=1) + bias
+        odds = sum((active[spot] for spot in spots), np.full(len(label), bias))
         toxic, moved, _ = chains.marginals(odds, moves)
         gap = label - toxic
-        pull = np.bincount(spot, np.repeat(gap, FEATURES), minlength=len(used)) / scale * 1e3
+        pull = sum(np.bincount(spot, gap, minlength=len(used)) for spot in spots) / scale * 1e3
         steps = [pull - DECAY * active, gap.sum() / scale * 1e3, (seen_moves - moved) / scale * 1e3]
         squares = [s + g * g for s, g in zip(squares, steps, strict=True)]
         active = active + RATE * steps[0] / (np.sqrt(squares[0]) + 1e-8)
@@ -283,7 +291,9 @@ def train(docs: DataFrame, labels: DataFrame, texts: int = TEXTS) -> Model:
         if size <= room:
             room -= size
             picked.append(at)
-    table = chosen.where(F.col("at").isin(picked)).orderBy("at", "doc_id").select("text", "toxic").toArrow()
+    # At most ``texts`` numbers of each class.
+    taken = F.broadcast(docs.sparkSession.createDataFrame([(at,) for at in picked], "at long"))
+    table = chosen.join(taken, "at", "left_semi").orderBy("at", "doc_id").select("text", "toxic").toArrow()
     return fit(
         table.column("text").combine_chunks() if table.num_rows else pa.array([], pa.string()),
         np.array(table.column("toxic").to_pylist(), bool),
