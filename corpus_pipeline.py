@@ -5,7 +5,6 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from stepwise.llm import language, mixing, near_dup, packing, toxicity
 from stepwise.llm.shared import saved, ship, table
@@ -39,19 +38,26 @@ def drop_unknown_language(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies, and documents without an id."""
+    """One document of each group of near copies, and documents without an id.
+
+    Rows that repeat an id and a text are one document; unlike texts under one id are documents
+    of their own.  Of a group the smallest id stays, an id that does not repeat before others.
+    Null, empty and wordless texts are like nothing; an empty table gives none.
+    """
     ship(spark)
-    kept = near_dup.near_duplicates(docs).where("kept").select("doc_id").distinct()
-    once = F.row_number().over(Window.partitionBy("doc_id").orderBy("text"))
-    named = (
-        _whole(docs)
-        .where("doc_id is not null")
-        .join(kept, "doc_id", "left_semi")
-        .withColumn("_once", once)
-        .where("_once = 1")
+    rows = _whole(docs).where("doc_id is not null")
+    repeated = saved(rows.groupBy("doc_id").count().where("count > 1").select("doc_id", F.lit(True).alias("again")))
+    # Repeated ids give way to numbers made of id and text, which lie above other ids.
+    made = F.xxhash64("doc_id", "text").bitwiseAND(F.lit((1 << 62) - 1)).bitwiseOR(F.lit(1 << 62))
+    rows = rows.join(repeated, "doc_id", "left").select(
+        "row", "text", "again", F.when(F.col("again"), made).otherwise(F.col("doc_id")).alias("doc_id")
     )
+    kept = near_dup.near_duplicates(rows).where("kept").select("doc_id").distinct()
+    found = rows.join(kept, "doc_id", "left_semi")
+    once = found.where("again is null").select("row")
+    of_repeats = found.where("again").dropDuplicates(["doc_id"]).select("row")
     nameless = docs.where(F.col("doc_id").isNull()).select(F.struct(*docs.columns).alias("row"))
-    return named.select("row").union(nameless).select("row.*")
+    return once.union(of_repeats).union(nameless).select("row.*")
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
