@@ -62,3 +62,13 @@ def test_mixing_takes_each_row_by_its_own_source(spark, documents):
     assert 0 < sum(r not in copies for r in rows if r[3] == "a")
     again = corpus_pipeline.mix_sources(spark, docs.repartition(5), SF).collect()
     assert len(again) == sum(copies.values()) and {(r["doc_id"], r["text"], None, r["source"]) for r in again} == set(copies)
+
+
+def test_unlike_texts_of_one_id_stay(spark, documents):
+    text = lambda k: " ".join(f"{k}{i}" for i in range(30))
+    rows = [(1, text("a"), "en", "s"), (1, text("b"), "en", "s"), (1, text("b"), "en", "s"), (1, None, "en", "s")]
+    rows += [(2, text("b") + " end", "en", "s"), (3, text("c"), "en", "s"), (4, text("c"), "en", "s"), (None, text("c"), "en", "s")]
+    out = corpus_pipeline.drop_near_duplicates(spark, documents(rows), SF).collect()
+    got = sorted(((r["doc_id"], r["text"]) for r in out), key=repr)
+    want = [(1, text("a")), (1, None), (2, text("b") + " end"), (3, text("c")), (None, text("c"))]
+    assert got == sorted(want, key=repr)
