@@ -199,6 +199,29 @@ def test_calendar_multiples(spark):
         assert [str(x)[:10] for x in row] == [start, end], period
 
 
+def test_compound_durations(spark):
+    df = spark.sql("SELECT timestamp_ntz'2024-08-15 10:00:01.750300' AS t")
+    for period, start, end in (
+        ("1d12h", "2024-08-15 00:00:00", "2024-08-16 12:00:00"),
+        ("1h30m", "2024-08-15 09:00:00", "2024-08-15 10:30:00"),
+        ("1y6mo", "2023-07-01 00:00:00", "2025-01-01 00:00:00"),
+        ("500ms", "2024-08-15 10:00:01.500000", "2024-08-15 10:00:02"),
+        ("250us", "2024-08-15 10:00:01.750250", "2024-08-15 10:00:01.750500"),
+        ("1000ns", "2024-08-15 10:00:01.750300", "2024-08-15 10:00:01.750301"),
+        ("1w", "2024-08-12 00:00:00", "2024-08-19 00:00:00"),
+        ("1w7d", "2024-08-08 00:00:00", "2024-08-22 00:00:00"),
+    ):
+        found = df.select(times.period_start("t", period).alias("s"))
+        row = found.select("s", times.period_end("s", period).alias("e")).first()
+        assert [str(x) for x in row] == [start, end], period
+
+
+@pytest.mark.parametrize("period", ["1mo2w", "0d", "1ns", "h", "1d 2h", "2x", ""])
+def test_durations_without_a_grid(period):
+    with pytest.raises(ValueError):
+        times.period_spec(period)
+
+
 def test_deviation_of_long_close_gaps(make):
     base = 8000 * 60
     rows = []
