@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from stepwise.functions import labels, props, times
@@ -10,6 +9,7 @@ from stepwise.operators import catalog
 from stepwise.operators import events as ev_ops
 from stepwise.operators.funnel import funnel
 from stepwise.plans.lineage import new_folder
+from stepwise.plans.ranks import sums_before
 from stepwise.sources import checks, readers
 from workload import sqlkit as sk
 from workload.funnels import REENTRY, _again, _first, cfg
@@ -45,8 +45,8 @@ def _parquet_files(spark, sf_dir):
 def _file_order(spark, sf_dir):
     """Places of events by the order that the reader derives from files and rows."""
     stored = readers.read_events(spark, _files(spark, sf_dir, "parquet"), with_order=True)
-    place = F.row_number().over(Window.orderBy("ord")).cast("bigint")
-    return stored.select("event_id", place.alias("place"))
+    placed = sums_before(stored.select("event_id", "ord"), ["ord"], "before")
+    return placed.select("event_id", (F.col("before") + 1).alias("place"))
 
 
 def _csv_funnel(spark, sf_dir):
@@ -198,6 +198,10 @@ PERIODS = {
     "1mo": "date_trunc('month', timestamp)",
     "15m": "time_bucket(INTERVAL 15 MINUTE, timestamp, TIMESTAMP '2000-01-01')",
     "2w": "time_bucket(INTERVAL 14 DAY, timestamp, TIMESTAMP '1970-01-05')",
+    "1d12h": "time_bucket(INTERVAL 36 HOUR, timestamp, TIMESTAMP '1970-01-01')",
+    "1y6mo": "time_bucket(INTERVAL 18 MONTH, timestamp, TIMESTAMP '2001-01-01')",
+    "1s500ms": "time_bucket(INTERVAL 1500 MILLISECOND, timestamp, TIMESTAMP '1970-01-01')",
+    "250us": "time_bucket(INTERVAL 250 MICROSECOND, timestamp, TIMESTAMP '1970-01-01')",
 }
 QUERIES["b9_periods"] = (
     lambda spark, sf_dir: events(spark, sf_dir).select(
