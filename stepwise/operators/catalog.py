@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from stepwise.functions.labels import bands, event_category
@@ -14,44 +14,61 @@ DICTIONARY_LEVELS = ((10, "high"), (5, "medium"))
 POPULARITY = ((50, "popular"), (20, "moderate"))
 
 
-def overview(events: DataFrame) -> DataFrame:
-    """Events, users, event types and whole days covered."""
-    per_pair = events.groupBy("user_id", "event_name").agg(
+def _pairs_rolled(events: DataFrame) -> DataFrame:
+    """One row per user (``whole_user``) and one per event name, from one pass: the rows are
+    counted per user and name first, so neither a user nor a name gathers them in one task."""
+    pairs = events.groupBy("user_id", "event_name").agg(
         F.count(F.lit(1)).alias("n"),
         F.min("timestamp").alias("lo"),
         F.max("timestamp").alias("hi"),
+        F.count("user_id").alias("named"),
     )
-    per_user = per_pair.groupBy("user_id").agg(
-        F.sum("n").alias("n"), F.min("lo").alias("lo"), F.max("hi").alias("hi")
+    return pairs.groupingSets([["user_id"], ["event_name"]], "user_id", "event_name").agg(
+        (F.grouping("event_name") == 1).alias("whole_user"),
+        F.sum("n").alias("n"),
+        F.min("lo").alias("lo"),
+        F.max("hi").alias("hi"),
+        F.count_if(F.col("named") > 0).alias("users"),
     )
-    names = events.agg(F.count_distinct("event_name").alias("n")).scalar()
-    span = F.unix_micros(F.max("hi").cast("timestamp")) - F.unix_micros(F.min("lo").cast("timestamp"))
-    return per_user.agg(
-        F.coalesce(F.sum("n"), F.lit(0)).alias("events"),
-        F.count("user_id").alias("users"),
-        F.call_function("div", span, F.lit(86_400_000_000)).alias("days"),
-    ).select("events", "users", names.alias("event_types"), "days")
-
-
-def _counts(events: DataFrame) -> DataFrame:
-    per_user = events.groupBy("event_name", "user_id").agg(F.count(F.lit(1)).alias("n"))
-    return per_user.groupBy("event_name").agg(
-        F.sum("n").alias("count"), F.count("user_id").alias("unique_users")
+
+
+def overview(events: DataFrame) -> DataFrame:
+    """Events, users, event types and whole days covered."""
+    whole = F.col("whole_user")
+    first, last = (F.unix_micros(c.cast("timestamp")) for c in (F.min("lo"), F.max("hi")))
+    return _pairs_rolled(events).agg(
+        F.coalesce(F.sum(F.when(whole, F.col("n"))), F.lit(0)).alias("events"),
+        F.count(F.when(whole, F.col("user_id"))).alias("users"),
+        F.count(F.when(~whole, F.col("event_name"))).alias("event_types"),
+        F.call_function("div", last - first, F.lit(86_400_000_000)).alias("days"),
     )
 
 
 def event_statistics(events: DataFrame) -> DataFrame:
     """Counts, users, shares, frequency level and events per user."""
-    counts = _counts(events)
-    total = counts.agg(F.sum("count").alias("t")).scalar()
-    users = events.agg(F.count_distinct("user_id").alias("u")).scalar()
-    share = F.col("count") / total * 100
+    whole = F.col("whole_user")
+    # All users become one row beside one for each event name.
+    by_name = _pairs_rolled(events).groupBy("whole_user", "event_name").agg(
+        F.sum("n").alias("count"),
+        F.sum("users").alias("unique_users"),
+        F.count("user_id").alias("all_users"),
+    )
+    # The table of event names, which is what the caller gets: small beside the events.
+    everything = Window.partitionBy()
+    counts = by_name.withColumns(
+        {
+            "total": F.max(F.when(whole, F.col("count"))).over(everything),
+            "users": F.max(F.when(whole, F.col("all_users"))).over(everything),
+        }
+    ).filter(~whole)
+    share = F.col("count") / F.col("total") * 100
+    coverage = F.when(F.col("users") > 0, F.col("unique_users") / F.col("users") * 100)
     return counts.select(
         "event_name",
         "count",
         "unique_users",
         share.alias("percentage_of_events"),
-        (F.col("unique_users") / users * 100).alias("user_coverage"),
+        coverage.alias("user_coverage"),
         bands(share, STATISTIC_LEVELS, "low").alias("frequency_level"),
         F.when(F.col("unique_users") > 0, F.col("count") / F.col("unique_users"))
         .otherwise(0.0)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from stepwise.functions.props import property_is, property_map, property_value, split_segment_name
@@ -41,18 +41,31 @@ def preprocess(events: DataFrame, steps: Sequence[str]) -> DataFrame:
 
 def property_counts(events: DataFrame, column: str) -> DataFrame:
     """Rows holding each top-level key."""
-    return (
+    return _counted_keys(events, column).filter(F.col("key").isNotNull())
+
+
+def _counted_keys(events: DataFrame, column: str) -> DataFrame:
+    """Rows holding each top-level key and, under a null key, all rows that are not null.
+
+    JSON repeats a few sets of keys in very many rows, so sets are counted before they are
+    exploded.
+    """
+    sets = (
         events.filter(F.col(column).isNotNull())
-        .select(F.explode(F.json_object_keys(column)).alias("key"))
-        .groupBy("key")
+        .groupBy(F.json_object_keys(column).alias("keys"))
         .agg(F.count(F.lit(1)).alias("n"))
     )
+    every = F.array(F.lit(None).cast("string"))
+    keys = F.concat(every, F.coalesce("keys", F.array().cast("array<string>")))
+    return sets.select(F.explode(keys).alias("key"), "n").groupBy("key").agg(F.sum("n").alias("n"))
 
 
 def common_property_table(events: DataFrame, column: str, share: float = COMMON_SHARE) -> DataFrame:
     """Keys present in at least ``share`` of the non-null rows."""
-    rows = events.filter(F.col(column).isNotNull()).agg(F.count(F.lit(1)).alias("rows"))
-    return property_counts(events, column).filter(F.col("n") >= rows.scalar() * share)
+    # One row per key name; the number of rows is the null key's.
+    total = F.max(F.when(F.col("key").isNull(), F.col("n"))).over(Window.partitionBy())
+    counted = _counted_keys(events, column).withColumn("total", total)
+    return counted.filter("key IS NOT NULL").filter(F.col("n") >= F.col("total") * share).drop("total")
 
 
 def common_properties(events: DataFrame, column: str, share: float = COMMON_SHARE) -> list[str]:
