@@ -15,6 +15,7 @@ from stepwise.plans.quantiles import exact_quantiles
 from stepwise.plans.skew import cut, resolve
 
 PROBABILITIES = (0.5, 0.25, 0.75, 0.9)
+_WHOLE = "CAST({} AS DECIMAL(38, 0))"
 
 
 def _keys(cfg: FunnelConfig) -> list[str]:
@@ -102,16 +103,24 @@ def conversion_stats(
     gaps = conversion_gaps(events, steps, cfg, slices=slices)
     # Everything below works on distinct gaps per pair, so the gaps are computed once.
     counted = gaps.groupBy(*by, "gap_us").agg(F.count(F.lit(1)).alias("m"))
-    # Deviations are taken from the least gap of a pair: far from zero, close gaps keep theirs.
-    least = counted.groupBy(*by).agg(F.min("gap_us").alias("least_us"))
-    beyond = (F.col("gap_us") - F.col("least_us")) / HOUR_US
-    n = F.sum("m")
-    mean = F.sum(beyond * F.col("m")) / n
-    square = F.sum(beyond * beyond * F.col("m")) / n
-    stats = counted.join(least, by).groupBy(*by).agg(
-        n.alias("n"),
-        (F.min("least_us") / HOUR_US + mean).alias("mean_hours"),
-        F.sqrt(F.greatest(square - mean * mean, F.lit(0.0))).alias("std_hours"),
+    # Exact moments: long gaps that lie close together keep their deviation.  Squares are taken
+    # from the whole part of the mean, whose own square is then below one.
+    stats = (
+        counted.groupBy(*by)
+        .agg(
+            F.sum("m").alias("n"),
+            F.expr(f"sum({_WHOLE.format('gap_us')} * m)").alias("_sum"),
+            F.expr(f"sum({_WHOLE.format('gap_us')} * gap_us * m)").alias("_squares"),
+        )
+        .withColumn("_mean", F.expr(_WHOLE.format("_sum div n")))
+        .withColumn("_rest", F.expr("CAST(_sum - _mean * n AS DOUBLE) / n"))
+        .withColumn("_spread", F.expr("CAST(_squares - _mean * (2 * _sum - _mean * n) AS DOUBLE) / n"))
+        .select(
+            *by,
+            "n",
+            ((F.col("_mean").cast("double") + F.col("_rest")) / HOUR_US).alias("mean_hours"),
+            (F.sqrt(F.expr("greatest(_spread - _rest * _rest, 0D)")) / HOUR_US).alias("std_hours"),
+        )
     )
     names = ("median_hours", "p25_hours", "p75_hours", "p90_hours")
     exact = exact_quantiles(counted, by, "gap_us", "m", PROBABILITIES, cfg.window_us)
