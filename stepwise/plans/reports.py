@@ -69,9 +69,16 @@ def process_report(
     filter_events: Sequence[str] | None = None,
     materialise: bool = False,
     slices="auto",
+    variant_limit: int | None = mining.TOP_VARIANTS,
+    cycle_limit: int | None = mining.TOP_CYCLES,
+    two_step: int | None = mining.TOP_TWO_STEP,
+    three_step: int | None = mining.TOP_THREE_STEP,
 ) -> dict[str, DataFrame]:
     """Activities, transitions, cycles, variants, endpoints, statistics and insights.
 
+    The limits are those of ``variants`` and ``cycles``, None for all; insights are drawn from
+    the listed variants and cycles.
+
     ``materialise`` writes the journeys and the transitions to the checkpoint folder once,
     so that the tables, each an action of its own, do not repeat the ordering of the log.
     """
@@ -84,9 +91,12 @@ def process_report(
     edges = mining.transitions(walks, min_frequency)
     edges = materialised(edges) if materialise else edges
     acts = mining.activities(walks)
-    found = mining.variants(walks)
+    found = mining.variants(walks, variant_limit)
     stats_row = mining.statistics(walks, edges)
-    loops = mining.cycles(log, edges) if include_cycles else None
+    limits = {"limit": cycle_limit, "two_step": two_step, "three_step": three_step}
+    # Slices are those of whole users; cycles measure theirs unless there are none.
+    apart = None if slices is None else "auto"
+    loops = mining.cycles(log, edges, slices=apart, **limits) if include_cycles else None
     report = {
         "activities": acts,
         "transitions": edges,
