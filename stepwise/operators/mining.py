@@ -358,39 +358,65 @@ def three_step_cycles(
     return cycles if limit is None else _top(cycles, limit)
 
 
-def recurrence_hours(log: DataFrame, *, slices="auto") -> DataFrame:
-    """Mean whole hours between consecutive occurrences of an event by a user, zeros out."""
+def _returns(log: DataFrame, slices) -> DataFrame:
+    """Per user and event: first and last time, and the sum and number of the whole hours
+    above zero from one occurrence to the next.
+
+    Unless a user is hot, rows move by user, as the journeys' do, so that a plan with both
+    orders the log in one shuffle; hot users are cut for each of their events.
+    """
     require_order(log)
     rows = log.select("user_id", "event_name", "us", "ord")
     keys = ("user_id", "event_name")
-    slices = resolve(rows, slices, keys)
-    hours = whole_hours(F.col("next_us") - F.col("us"))
+    if slices == "auto" and resolve(rows, slices) is None:
+        slices = None
+    else:
+        slices = resolve(rows, slices, keys)
+    if slices is None:
+        following = Window.partitionBy(*keys).orderBy("pos")
+        rows = sequence(rows).withColumn("again_us", F.lead("us").over(following))
+    else:
+        rows = sequence(cut(rows, slices), slices=slices, keys=keys)
+        rows = rows.withColumn("again_us", F.col("next_us"))
+    hours = whole_hours(F.col("again_us") - F.col("us"))
+    return rows.withColumn("hours", F.when(hours > 0, hours)).groupBy(*keys).agg(
+        F.min("us").alias("lo"),
+        F.max("us").alias("hi"),
+        F.sum("hours").alias("hours"),
+        F.count("hours").alias("gaps"),
+    )
+
+
+def recurrence_hours(log: DataFrame, *, slices="auto") -> DataFrame:
+    """Mean whole hours between consecutive occurrences of an event by a user, zeros out."""
     return (
-        sequence(cut(rows, slices), slices=slices, keys=keys)
-        .select("event_name", hours.alias("hours"))
-        .filter(F.col("hours") > 0)
+        _returns(log, slices)
         .groupBy("event_name")
-        .agg(F.avg("hours").alias("avg_cycle_time"))
+        .agg((F.sum("hours") / F.nullif(F.sum("gaps"), F.lit(0))).alias("avg_cycle_time"))
+        .filter("avg_cycle_time IS NOT NULL")
     )
 
 
-def _span_hours(log: DataFrame, cycles: DataFrame) -> DataFrame:
-    """Mean over users of the whole hours between the first and last event of the cycle's
-    two end activities."""
-    per_user = log.groupBy("user_id", "event_name").agg(
-        F.min("us").alias("lo"), F.max("us").alias("hi")
-    )
-    ends = cycles.select(
-        F.array_join("path", ARROW).alias("cycle"),
-        F.explode(F.array(F.col("path")[0], F.element_at("path", -1))).alias("event_name"),
+def _cycle_hours(log: DataFrame, cycles: DataFrame, slices) -> DataFrame:
+    """Mean time of cycles of one activity, the hours until it comes again, and of two: the
+    mean over users of the whole hours between the first and the last of both activities."""
+    ends = cycles.select("cycle", "length", F.explode("path").alias("event_name"))
+    per_user = (
+        _returns(log, slices)
+        .join(ends, "event_name")
+        .groupBy("cycle", "length", "user_id")
+        .agg(
+            F.min("lo").alias("lo"),
+            F.max("hi").alias("hi"),
+            F.sum("hours").alias("hours"),
+            F.sum("gaps").alias("gaps"),
+        )
     )
-    return (
-        per_user.join(ends, "event_name")
-        .groupBy("cycle", "user_id")
-        .agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"))
-        .filter(F.col("lo") != F.col("hi"))
-        .groupBy("cycle")
-        .agg(F.avg(whole_hours(F.col("hi") - F.col("lo"))).alias("avg_cycle_time"))
+    span = F.when(F.col("lo") != F.col("hi"), whole_hours(F.col("hi") - F.col("lo")))
+    return per_user.groupBy("cycle").agg(
+        F.when(F.max("length") > 1, F.avg(span))
+        .otherwise(F.sum("hours") / F.nullif(F.sum("gaps"), F.lit(0)))
+        .alias("time")
     )
 
 
@@ -416,24 +442,17 @@ def cycles(
     )
     if limit is not None:
         ranked = ranked.orderBy(F.col("frequency").desc(), "cycle").limit(limit)
-    again = recurrence_hours(log, slices=slices).select(
-        F.col("event_name").alias("cycle"), F.col("avg_cycle_time").alias("loop_time")
+    timed = loops.unionByName(twos).select(
+        F.array_join("path", ARROW).alias("cycle"), F.size("path").alias("length"), "path"
     )
-    span = _span_hours(log, twos).withColumnRenamed("avg_cycle_time", "span_time")
-    return (
-        ranked.join(again, "cycle", "left")
-        .join(span, "cycle", "left")
-        .select(
-            "cycle",
-            F.size("path").cast("bigint").alias("length"),
-            "frequency",
-            "type",
-            "impact",
-            F.when(F.size("path") == 1, F.coalesce("loop_time", F.lit(0.0)))
-            .when(F.size("path") == 2, F.coalesce("span_time", F.lit(0.0)))
-            .otherwise(0.0)
-            .alias("avg_cycle_time"),
-        )
+    time = _cycle_hours(log, timed, slices)
+    return ranked.join(time, "cycle", "left").select(
+        "cycle",
+        F.size("path").cast("bigint").alias("length"),
+        "frequency",
+        "type",
+        "impact",
+        F.coalesce("time", F.lit(0.0)).alias("avg_cycle_time"),
     )
 
 

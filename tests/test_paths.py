@@ -85,7 +85,7 @@ def test_between_against_brute_force(make, seed):
     events = make(rows)
     cfg = FunnelConfig(1, reentry_mode="optimized_reentry")
     want = {"A → B": brute_between(rows, AB, 1)}
-    slices = measure(timed(events), max_rows=5, force=True)
+    slices = measure(timed(events), max_rows=5)
     for cut in (None, slices):
         assert counts(paths.between_events(events, AB, cfg, slices=cut), "step_pair") == want
 
@@ -174,7 +174,7 @@ def test_hot_journey_in_slices(make):
     rows += [("hot", rng.choice("PQR"), rng.randrange(60)) for _ in range(40)]
     rows += [("u", "P", 0), ("u", "Q", 1)]
     log = mining.event_log(make(rows))
-    slices = measure(log, max_rows=10, force=True)
+    slices = measure(log, max_rows=10)
     plain = sorted(map(repr, mining.journeys(log, slices=None).collect()))
     assert sorted(map(repr, mining.journeys(log, slices=slices).collect())) == plain
 

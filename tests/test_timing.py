@@ -120,7 +120,7 @@ def test_window_and_skipped_steps(make):
     assert row[1:] == (4, 2, 4, 4, 100)
     (row,) = table(series.time_series(events, abc, cfg, strict=True), *columns)
     assert row[1:] == (4, 2, 4, 1, 25)
-    slices = measure(timed(events), max_rows=1, force=True)
+    slices = measure(timed(events), max_rows=1)
     (row,) = table(series.time_series(events, abc, cfg, strict=True, slices=slices), *columns)
     assert row[1:] == (4, 2, 4, 1, 25)
 
