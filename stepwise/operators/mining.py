@@ -456,15 +456,33 @@ def cycles(
     )
 
 
-def simple_cycles(edges: DataFrame, max_length: int = MAX_CYCLE) -> DataFrame:
-    """Simple cycles of the transition graph up to a length, beginning at their
-    alphabetically first activity; one join per length.
+def cyclic_hops(edges: DataFrame, max_length: int = MAX_CYCLE) -> DataFrame:
+    """The transitions, as (hop_from, hop_to), whose target leads back to their source, so that
+    the way round is not (much) longer than max_length.
 
-    The edges, a table of activity pairs, are written once before the joins.
+    Which activities reach which is found by doubling the number of steps; the tables hold
+    pairs of activities and are written before each round.
     """
     hops = materialised(
         edges.select(F.col("source").alias("hop_from"), F.col("target").alias("hop_to"))
     )
+    within, steps = hops.distinct(), 1
+    while steps < max_length - 1:
+        onward = within.select(F.col("hop_from").alias("hop_to"), F.col("hop_to").alias("_far"))
+        further = within.join(onward, "hop_to").select("hop_from", F.col("_far").alias("hop_to"))
+        within, steps = materialised(within.union(further).distinct()), steps * 2
+    home = within.select(F.col("hop_from").alias("hop_to"), F.col("hop_to").alias("hop_from"))
+    return hops.join(home, ["hop_from", "hop_to"], "left_semi")
+
+
+def simple_cycles(edges: DataFrame, max_length: int = MAX_CYCLE) -> DataFrame:
+    """Simple cycles of the transition graph up to a length, beginning at their
+    alphabetically first activity; one join per length.
+
+    Transitions that lie on no cycle are dropped before paths grow; a graph without cycles has
+    no paths at all.
+    """
+    hops = materialised(cyclic_hops(edges, max_length))
     paths = hops.select(F.array("hop_from").alias("path")).distinct()
     closed = None
     for length in range(1, max_length + 1):
@@ -495,11 +513,18 @@ def graph_cycles(
     limit: int | None = TOP_CYCLES,
 ) -> DataFrame:
     """Simple cycles with how often, and how fast, their path occurs in the journeys."""
-    found = simple_cycles(edges, max_length).withColumn("cycle", F.array_join("path", ARROW))
-    ahead = _following(walks, max_length)
+    found = materialised(
+        simple_cycles(edges, max_length).withColumn("cycle", F.array_join("path", ARROW))
+    )
+    # Only at events that can begin a listed cycle are sequences, of its length, spelled out.
+    lengths = found.groupBy(F.col("path")[0].alias("_first")).agg(
+        F.collect_set(F.size("path")).alias("_lengths")
+    )
+    ahead = _following(walks, max_length).withColumn("_first", F.col("names")[0])
+    ahead = ahead.join(lengths, "_first")
     grams = [
         F.when(
-            F.size("names") >= k,
+            (F.size("names") >= k) & F.array_contains("_lengths", k),
             F.struct(
                 F.array_join(F.slice("names", 1, k), ARROW).alias("cycle"),
                 (

@@ -226,6 +226,38 @@ def test_cycles_of_large_graphs(make):
     assert everything.count() == 3
 
 
+def test_dense_graph_without_cycles(spark):
+    """Of 200 activities that lead to all later ones no transition is left to follow."""
+    names = [f"n{i:03}" for i in range(200)]
+    forward = [(a, b, 1) for i, a in enumerate(names) for b in names[i + 1 :]]
+    edges = spark.createDataFrame(forward, "source string, target string, frequency long")
+    assert mining.cyclic_hops(edges).count() == 0
+    assert mining.simple_cycles(edges).count() == 0
+
+
+@pytest.mark.parametrize("longest", [1, 2, 3, 5, 6])
+def test_simple_cycles_against_brute_force(spark, longest):
+    rng = random.Random(longest)
+    names = "abcdefgh"
+    edges = {(rng.choice(names), rng.choice(names)) for _ in range(18)}
+    want = set()
+
+    def grow(path):
+        if (path[-1], path[0]) in edges:
+            want.add(tuple(path))
+        if len(path) < longest:
+            for n in names:
+                if n > path[0] and n not in path and (path[-1], n) in edges:
+                    grow([*path, n])
+
+    for n in names:
+        grow([n])
+    rows = [(a, b, 1) for a, b in sorted(edges)]
+    table = spark.createDataFrame(rows, "source string, target string, frequency long")
+    found = [tuple(r["path"]) for r in mining.simple_cycles(table, longest).collect()]
+    assert len(found) == len(set(found)) and set(found) == want
+
+
 def test_log_ends_at_as_of(make):
     rows = [("u", "A", m) for m in (0, 60, 120, 180)]
     log = mining.event_log(make(rows), time_window_hours=1, as_of=BASE + timedelta(minutes=120))
