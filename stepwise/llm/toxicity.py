@@ -275,7 +275,7 @@ def train(docs: DataFrame, labels: DataFrame, texts: int = TEXTS) -> Model:
     of each class.
 
     Labels whose crc32(doc_id) modulo ``FOLDS`` is 0 are held out.  Of the chosen texts, taken in
-    a fixed random order, as many whole ones reach the driver as fit into ``BYTES``.  Rows without
+    a fixed random order, as many whole ones reach the fitting task as fit into ``BYTES``.  Rows without
     text or label are ignored.
     """
     marked = labels.where(remainder(F.col("doc_id").cast("long"), FOLDS) != 0).select(
@@ -293,10 +293,28 @@ def train(docs: DataFrame, labels: DataFrame, texts: int = TEXTS) -> Model:
             picked.append(at)
     # At most ``texts`` numbers of each class.
     taken = F.broadcast(docs.sparkSession.createDataFrame([(at,) for at in picked], "at long"))
-    table = chosen.join(taken, "at", "left_semi").orderBy("at", "doc_id").select("text", "toxic").toArrow()
-    return fit(
-        table.column("text").combine_chunks() if table.num_rows else pa.array([], pa.string()),
-        np.array(table.column("toxic").to_pylist(), bool),
+    # One task holds the texts, ``BYTES`` at most, and fits; the driver gets the model only.
+    sample = chosen.join(taken, "at", "left_semi").repartition(1).sortWithinPartitions("at", "doc_id")
+    found = sample.select("text", "toxic").mapInArrow(_fitted, _MODEL).toArrow().to_pylist()
+    if not found:
+        return fit(pa.array([], pa.string()), np.zeros(0, bool))
+    weights, moves = np.frombuffer(found[0]["weights"], np.float32), np.array(found[0]["moves"])
+    return Model(weights, found[0]["bias"], moves.reshape(2, 2), np.array(found[0]["calibration"]))
+
+
+_MODEL = "weights binary, bias double, moves array<double>, calibration array<double>"
+
+
+def _fitted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    table = pa.Table.from_batches(list(batches), pa.schema([("text", pa.string()), ("toxic", pa.bool_())]))
+    model = fit(table.column("text").combine_chunks(), np.array(table.column("toxic").to_pylist(), bool))
+    yield pa.RecordBatch.from_pydict(
+        {
+            "weights": pa.array([model.weights.tobytes()], pa.binary()),
+            "bias": pa.array([float(model.bias)]),
+            "moves": pa.array([model.moves.ravel().tolist()]),
+            "calibration": pa.array([model.calibration.tolist()]),
+        }
     )
 
 
