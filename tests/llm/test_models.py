@@ -161,6 +161,38 @@ def test_quality_scores(labelled_rows, documents):
     assert quality.rank(docs, labels.limit(0)).count() == docs.count()
 
 
+def test_quality_is_fitted_to_all_pairs(spark, documents):
+    rng = random.Random(5)
+    rows, labels = [], []
+    for i in range(1200):
+        good = i % 5 > 0
+        words = [rng.choice(["aa", "Bb", "c1", "dd,", "ee#"]) for _ in range(rng.randrange(3, 30))]
+        rows.append((i, " ".join(words) + ("" if good and i % 7 else rng.choice(["!", "###", " X"])), None, None))
+        labels.append((i, int(good), 0))
+    docs, marks = documents(rows), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    model = quality.train(docs, marks)
+    used = [i for i in range(1200) if zlib.crc32(str(i).encode()) % 4 != 2]
+    x = quality.features(pa.array([rows[i][1] for i in used]))
+    good = np.array([labels[i][1] for i in used], bool)
+    assert np.allclose(model.mean, x.mean(axis=0), atol=1e-8)
+    assert np.allclose(model.spread, x.std(axis=0) + 1e-6, atol=1e-8)
+    z = model.standard(x)
+    gap = (z[good][:, None] - z[~good]).reshape(-1, x.shape[1])
+    w, ridge = np.zeros(x.shape[1]), quality.RIDGE * np.eye(x.shape[1])
+    for _ in range(30):
+        p = 1 / (1 + np.exp(-gap @ w))
+        slope = gap.T @ (p - 1) / len(gap) + ridge @ w
+        curve = (gap * (p * (1 - p))[:, None]).T @ gap / len(gap) + ridge
+        w = w - np.clip(np.linalg.solve(curve, slope), -2, 2)
+    assert np.allclose(model.weights, w, atol=1e-5)
+    # The curve passes through CUT between the strengths around the share of bad ones.
+    strength, bad = np.sort(model.strengths(x)), int((~good).sum())
+    cut = (strength[bad - 1] + strength[bad]) / 2
+    assert abs(model.scale * cut + model.shift - np.log(quality.CUT / (1 - quality.CUT))) < 1e-6
+    again = quality.train(docs.repartition(7), marks)
+    assert (again.weights == model.weights).all() and again.shift == model.shift
+
+
 def test_features_do_not_depend_on_neighbours():
     texts = ["One two two. ", None, "", "UP! ### |", "a b a b a b\na b a b"]
     together = quality.features(pa.array(texts))
