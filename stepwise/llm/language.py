@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
 from stepwise.llm.labelled import class_sizes, remainder, sample, text_beside
+from stepwise.llm.shared import lean
 from stepwise.llm.textscan import text_bytes
 
 ORDER = 3
@@ -39,6 +40,7 @@ _LETTERS[65:91] = _LETTERS[97:123] = True
 _LETTER = regex.compile(r"\p{L}")
 
 
+@lean
 def _grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Counts of byte strings of 1 to ORDER + 1 bytes by language."""
     for batch in batches:
@@ -195,6 +197,7 @@ def train(labelled: DataFrame, texts: int = TEXTS) -> Model:
     return build(langs, [(index[r["lang"]], r["size"], r["gram"], r["count"]) for r in counts])
 
 
+@lean
 def _predict(
     batches: Iterator[pa.RecordBatch], model: Model, row: str | None
 ) -> Iterator[pa.RecordBatch]:

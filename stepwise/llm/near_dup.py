@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from stepwise.llm.components import components
-from stepwise.llm.shared import saved
+from stepwise.llm.shared import lean, saved
 from stepwise.llm.textscan import mix, seeds, text_bytes, word_hashes
 
 WORDS = 5
@@ -84,6 +84,7 @@ def _lists(arrays: list[np.ndarray]) -> pa.Array:
 _SKETCH = "doc_id long, n int, sum long, xor long, sketch array<long>"
 
 
+@lean
 def _sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for at in range(0, batch.num_rows, 1000):
@@ -109,6 +110,7 @@ def sketches(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(_sketches, _SKETCH)
 
 
+@lean
 def _full_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for at in range(0, batch.num_rows, 1000):
@@ -138,6 +140,7 @@ def _shared_size(a: np.ndarray, b: np.ndarray) -> int:
     return int(np.count_nonzero(b[at] == a))
 
 
+@lean
 def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         left, right = _values(batch.column("set_a")), _values(batch.column("set_b"))
@@ -154,6 +157,7 @@ def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
+@lean
 def _differences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for at in range(0, batch.num_rows, 500):

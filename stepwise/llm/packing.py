@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stepwise.llm.shared import saved
+from stepwise.llm.shared import lean, saved
 from stepwise.llm.tokenise import crc32, documents
 
 LENGTH = 4096
@@ -60,6 +60,7 @@ def first_fit_decreasing(sizes: np.ndarray, length: int) -> tuple[np.ndarray, np
 _PIECE = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, ids binary"
 
 
+@lean
 def _pieces(batches: Iterator[pa.RecordBatch], path: str, length: int, keep: bool):
     for batch in batches:
         for at in range(0, batch.num_rows, 1000):

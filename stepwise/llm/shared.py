@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import ctypes
+import functools
 import shutil
 import tempfile
 import uuid
 from pathlib import Path
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -35,6 +38,31 @@ def saved(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def give_back() -> None:
+    """Memory that Arrow and numpy have freed goes back to the system."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
+def lean(run):
+    """A generator over batches, for a task, that gives its memory back when it ends.
+
+    Spark keeps a task's Python process for later ones.  An executor has more such processes than
+    cores; each would hold as much as its largest task took, while others work.
+    """
+
+    @functools.wraps(run)
+    def task(*args):
+        try:
+            yield from run(*args)
+        finally:
+            give_back()
+
+    return task
+
+
 _shipped: set[str] = set()
 
 

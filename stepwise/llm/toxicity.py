@@ -28,7 +28,7 @@ from pyspark.sql.types import (
 
 from stepwise.llm.labelled import labelled_texts, remainder, text_beside
 from stepwise.llm.near_dup import shingle_sets
-from stepwise.llm.shared import saved
+from stepwise.llm.shared import lean, saved
 from stepwise.llm.textscan import text_bytes, word_blocks
 
 FOLDS = 5
@@ -305,6 +305,7 @@ def train(docs: DataFrame, labels: DataFrame, texts: int = TEXTS) -> Model:
 _MODEL = "weights binary, bias double, moves array<double>, calibration array<double>"
 
 
+@lean
 def _fitted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     table = pa.Table.from_batches(list(batches), pa.schema([("text", pa.string()), ("toxic", pa.bool_())]))
     model = fit(table.column("text").combine_chunks(), np.array(table.column("toxic").to_pylist(), bool))
@@ -326,6 +327,7 @@ def _characters(data: np.ndarray, offsets: np.ndarray, owner, position) -> np.nd
     return heads[begin + position] - heads[begin]
 
 
+@lean
 def _score(batches: Iterator[pa.RecordBatch], model: Model, row: str | None) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for at in range(0, batch.num_rows, 500):

@@ -8,7 +8,7 @@ import duckdb
 import numpy as np
 import pytest
 
-from stepwise.llm import chat, fingerprint, mixing, neighbours
+from stepwise.llm import chat, fingerprint, language, mixing, near_dup, neighbours, packing, shared, toxicity
 from stepwise.llm.queries import CONVERSATIONS
 
 
@@ -408,3 +408,11 @@ def test_fingerprints_of_text_without_white_space(documents):
     for text in [*texts, " ".join(words), "\t".join(words)]:
         row = documents([(1, text, None, None)]).select(fingerprint.bits_of("text").alias("b")).first()
         assert row["b"] == bits(text)
+
+
+def test_tasks_give_memory_back(monkeypatch):
+    calls = []
+    monkeypatch.setattr(shared, "give_back", lambda: calls.append("given"))
+    assert list(shared.lean(lambda batches: (b + 1 for b in batches))([1, 2])) == [2, 3] and calls == ["given"]
+    tasks = [toxicity._fitted, toxicity._score, language._predict, near_dup._sketches, near_dup._compare, packing._pieces]
+    assert all(hasattr(task, "__wrapped__") for task in tasks)
