@@ -15,6 +15,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType
 from pyspark.sql.window import Window
 
 from stepwise.llm.shared import saved
@@ -132,9 +133,10 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     without doc_id have an empty next document and are nobody's.  A single document is its own
     next.  Other columns are ignored; an empty table gives no rows.
     """
-    texts = docs.select(
-        F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")
-    )
+    # The column as it is, or its cast: a needless one would leave a renaming in one of the two
+    # uses of ``placed`` only, and Spark would move the texts twice.
+    doc_id = "doc_id" if docs.schema["doc_id"].dataType == LongType() else F.col("doc_id").cast("long").alias("doc_id")
+    texts = docs.select(doc_id, F.coalesce("text", F.lit("")).alias("text"))
     # Of rows that repeat a doc_id, the first stands for them.
     standing = F.lag("doc_id").over(Window.partitionBy("doc_id").orderBy("text")).isNull()
     named = texts.where("doc_id is not null")

@@ -410,6 +410,27 @@ def test_fingerprints_of_text_without_white_space(documents):
         assert row["b"] == bits(text)
 
 
+def test_fingerprints_move_texts_once(spark, documents, monkeypatch):
+    plans = []
+
+    def saved(df):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return stored(df)
+
+    stored = fingerprint.saved
+    monkeypatch.setattr(fingerprint, "saved", saved)
+    settings = {"spark.sql.adaptive.enabled": "false", "spark.sql.autoBroadcastJoinThreshold": "-1"}
+    before = {k: spark.conf.get(k) for k in settings}
+    try:
+        for k, v in settings.items():
+            spark.conf.set(k, v)
+        fingerprint.fingerprints(documents([(i, f"text {i}", None, None) for i in range(20)])).collect()
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert any(" ReusedExchange [doc_id" in line and "text" in line for line in plans[-1].splitlines())
+
+
 def test_tasks_give_memory_back(monkeypatch):
     calls = []
     monkeypatch.setattr(shared, "give_back", lambda: calls.append("given"))
