@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from stepwise.llm.shared import lean, saved
-from stepwise.llm.tokenise import crc32, documents
+from stepwise.llm.tokenise import crc32, documents, encoder
 
 LENGTH = 4096
 GROUP = 8192
@@ -62,6 +62,14 @@ _PIECE = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long,
 
 @lean
 def _pieces(batches: Iterator[pa.RecordBatch], path: str, length: int, keep: bool):
+    try:
+        yield from _cut(batches, path, length, keep)
+    finally:
+        # The process stays for tasks of other operators, which need the memory of the words.
+        encoder(path).forget()
+
+
+def _cut(batches: Iterator[pa.RecordBatch], path: str, length: int, keep: bool):
     for batch in batches:
         for at in range(0, batch.num_rows, 1000):
             part = batch.slice(at, 1000)

@@ -28,7 +28,7 @@ from pyspark.sql.types import (
 
 from stepwise.llm.labelled import labelled_texts, remainder, text_beside
 from stepwise.llm.near_dup import shingle_sets
-from stepwise.llm.shared import lean, saved
+from stepwise.llm.shared import give_back, lean, saved
 from stepwise.llm.textscan import text_bytes, word_blocks
 
 FOLDS = 5
@@ -98,6 +98,19 @@ def tokens(texts: pa.Array) -> Tokens:
     return Tokens(features, np.flatnonzero(new), owner, starts - offsets[owner], ends - offsets[owner])
 
 
+def chained_features(texts: pa.Array, together: int = 100) -> Tokens:
+    """The tokens of the texts without their places, found for some texts at a time."""
+    none = np.zeros(0, np.int64)
+    features, chains, owners, total = [np.zeros((0, FEATURES), np.int32)], [none], [none], 0
+    for first in range(0, len(texts), together):
+        found = tokens(texts.slice(first, together))
+        features.append(found.features)
+        chains.append(found.chain_starts + total)
+        owners.append(found.texts + first)
+        total += len(found.texts)
+    return Tokens(np.concatenate(features), np.concatenate(chains), np.concatenate(owners), none, none)
+
+
 class Chains:
     """Forward-backward over many chains at once, the longest first."""
 
@@ -133,8 +146,6 @@ class Chains:
             after[:, 1] *= weight[at]
             now = after @ move.T
             backward[at - 1] = now / now.sum(axis=1, keepdims=True)
-        both = forward * backward
-        toxic = both[:, 1] / both.sum(axis=1)
         moved = np.zeros((2, 2))
         for t in range(1, len(self.live)):
             at = self.starts[: self.live[t]] + t
@@ -142,7 +153,8 @@ class Chains:
             after[:, 1] *= weight[at]
             joint = forward[at - 1][:, :, None] * move * after[:, None, :]
             moved += (joint / joint.sum(axis=(1, 2), keepdims=True)).sum(axis=0)
-        return toxic, moved, log_z
+        both = np.multiply(forward, backward, out=forward)
+        return both[:, 1] / both.sum(axis=1), moved, log_z
 
 
 @dataclass
@@ -184,6 +196,9 @@ def token_labels(found: Tokens, toxic_text: np.ndarray) -> np.ndarray:
         bucket, is_toxic = seen % BUCKETS, toxic_text[seen // BUCKETS]
         hits = np.bincount(bucket[is_toxic], minlength=BUCKETS)
         misses = np.bincount(bucket[~is_toxic], minlength=BUCKETS)
+        del seen, bucket, is_toxic
+        met = np.flatnonzero(hits + misses)
+        hits, misses = hits[met], misses[met]
         ratio = ((hits + 0.2) / (rows[0] + 1)) / ((misses + 0.2) / (rows[1] + 1))
         both = hits + misses
         with np.errstate(divide="ignore", invalid="ignore"):
@@ -191,7 +206,8 @@ def token_labels(found: Tokens, toxic_text: np.ndarray) -> np.ndarray:
                 np.where(hits, hits * np.log(hits / (both * share)), 0)
                 + np.where(misses, misses * np.log(misses / (both * (1 - share))), 0)
             )
-        telling = (ratio >= TELLING) & (evidence >= 2 * np.log(max(1, np.count_nonzero(both))) + MARGIN)
+        telling = np.zeros(BUCKETS, bool)
+        telling[met] = (ratio >= TELLING) & (evidence >= 2 * np.log(max(1, len(met))) + MARGIN)
         toxic |= telling[found.features[:, j]]
     return toxic_text[found.texts] & toxic
 
@@ -200,11 +216,12 @@ def distinct_texts(texts: pa.Array, retained: int = 8) -> list[int]:
     """Indices of texts that share fewer than two of their smallest shingles with an earlier one."""
     seen: set[int] = set()
     kept = []
-    for i, shingles in enumerate(shingle_sets(texts)):
-        least = shingles[:retained].tolist()
-        if sum(v in seen for v in least) < min(2, len(least) or 1):
-            kept.append(i)
-            seen.update(least)
+    for first in range(0, len(texts), 100):
+        for i, shingles in enumerate(shingle_sets(texts.slice(first, 100)), first):
+            least = shingles[:retained].tolist()
+            if sum(v in seen for v in least) < min(2, len(least) or 1):
+                kept.append(i)
+                seen.update(least)
     return kept
 
 
@@ -215,8 +232,11 @@ def fit(texts: pa.Array, toxic_text: np.ndarray) -> Model:
     """
     single = distinct_texts(texts)
     texts, toxic_text = texts.take(pa.array(single, pa.int64())), toxic_text[single]
-    found = tokens(texts)
+    found = chained_features(texts)
+    texts = None
+    give_back()
     labels = token_labels(found, toxic_text)
+    give_back()
     chain = np.zeros(len(labels), np.int64)
     chain[found.chain_starts] = 1
     chain = np.cumsum(chain) - 1
@@ -232,7 +252,8 @@ def fit(texts: pa.Array, toxic_text: np.ndarray) -> Model:
     seen_moves = np.bincount(2 * label[pairs - 1] + label[pairs], minlength=4).reshape(2, 2)
     used = np.unique(features)
     spots = [np.searchsorted(used, column).astype(np.int32) for column in features.T]
-    del features
+    del features, chain, chosen, pairs
+    give_back()
     squares = [np.zeros(len(used)), 0.0, np.zeros((2, 2))]
     active = np.zeros(len(used))
     scale = max(1, len(label))
@@ -308,7 +329,9 @@ _MODEL = "weights binary, bias double, moves array<double>, calibration array<do
 @lean
 def _fitted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     table = pa.Table.from_batches(list(batches), pa.schema([("text", pa.string()), ("toxic", pa.bool_())]))
-    model = fit(table.column("text").combine_chunks(), np.array(table.column("toxic").to_pylist(), bool))
+    texts, toxic = table.column("text").combine_chunks(), np.array(table.column("toxic").to_pylist(), bool)
+    del table
+    model = fit(texts, toxic)
     yield pa.RecordBatch.from_pydict(
         {
             "weights": pa.array([model.weights.tobytes()], pa.binary()),

@@ -2,6 +2,7 @@ from __future__ import annotations
 
 import math
 import random
+import tracemalloc
 import zlib
 
 import numpy as np
@@ -199,3 +200,24 @@ def test_features_do_not_depend_on_neighbours():
     for i, text in enumerate(texts):
         assert np.allclose(together[i], quality.features(pa.array([text], pa.string()))[0])
     assert len(text_bytes(pa.array([], pa.string()))[1]) == 1
+
+
+def test_memory_of_the_toxicity_fit():
+    """Fitting 690,000 tokens takes less than 90 MB at the peak."""
+    rng = random.Random(4)
+    texts = pa.array([" ".join(f"w{rng.randrange(30_000)}" for _ in range(300)) for _ in range(2300)])
+    tracemalloc.start()
+    try:
+        toxicity.fit(texts, np.arange(2300) % 8 == 0)
+        assert tracemalloc.get_traced_memory()[1] < 90 << 20
+    finally:
+        tracemalloc.stop()
+
+
+def test_tokens_found_for_some_texts_at_a_time():
+    rng = random.Random(6)
+    texts = [None, "", "one. two! three", *(sentence("aa", rng, rng.randrange(1, 150)) for _ in range(40)), " "]
+    whole, some = toxicity.tokens(pa.array(texts)), toxicity.chained_features(pa.array(texts), 7)
+    for name in ("features", "chain_starts", "texts"):
+        assert np.array_equal(getattr(whole, name), getattr(some, name)), name
+    assert len(toxicity.chained_features(pa.array([], pa.string())).texts) == 0

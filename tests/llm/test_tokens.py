@@ -146,3 +146,9 @@ def test_packing(documents, odd_rows, tokenizer):
     joined = packing.sequences(packed).collect()
     assert all(len(r["ids"]) == 4 * r["length"] for r in joined)
     assert packing.pack(documents([]), tokenizer).count() == 0
+
+
+def test_a_packing_task_leaves_no_words_in_its_process(tokenizer):
+    batch = pa.RecordBatch.from_pydict({"doc_id": pa.array([1, 2]), "text": pa.array(["some plain words", None])})
+    assert sum(b.num_rows for b in packing._pieces(iter([batch]), tokenizer, 4096, False)) == 2
+    assert not len(tokenise.encoder(tokenizer).codes) and not len(tokenise.encoder(tokenizer).pool)
