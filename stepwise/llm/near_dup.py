@@ -16,7 +16,10 @@ retained values generate the overlaps of documents:
   If A is not linked to the pivot P, then A and B can only be linked when the differences of A
   and of B from P share at least ``(x + y - min(|A|, |B|) / 3) / 2`` shingles, x and y being
   the sizes of the differences.  A prefix filter on the differences, rarest first, finds
-  exactly those pairs, so no list is ever multiplied with itself.
+  exactly those pairs.  Of them only those count whose classes the links found so far do not
+  join already, so members of the pivot's component never meet each other; and the parities of
+  the differences by hash, ``PARITIES`` bits that two classes differ in at most as often as
+  their sets do, drop pairs that are too far apart.  Neither filter loses a component.
 
 Components of the links give each document the smallest doc_id it reaches.
 """
@@ -46,6 +49,8 @@ BITS = 1 << 24
 LIGHT_SHARE = 0.6
 # Smallest overlap of two sketches, as a share of the light values of the poorer one.
 OVERLAP_SHARE = 0.1
+# Bits of the parities of a difference, a multiple of 64.
+PARITIES = 512
 # Six standard deviations of the estimate from K values.
 ESTIMATE = NUMERATOR / DENOMINATOR - 6 * (0.75 * 0.25 / K) ** 0.5
 _STEPS = seeds(WORDS, 1000)
@@ -157,6 +162,20 @@ def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
+def _parities(sets: list[np.ndarray]) -> pa.Array:
+    """``PARITIES`` bits of each set, as longs: whether an odd number of its values have a hash.
+
+    The exclusive or of two rows has the bits of the values in one set only, so it has at most
+    as many ones as there are such values.
+    """
+    rows = np.repeat(np.arange(len(sets)), [len(x) for x in sets])
+    values = np.concatenate([*sets, np.zeros(0, np.int64)]).view(np.uint64)
+    place = (mix(values + np.uint64(11)) % np.uint64(PARITIES)).astype(np.int64)
+    odd = np.bincount(rows * PARITIES + place, minlength=len(sets) * PARITIES) & 1
+    words = np.packbits(odd.astype(np.uint8).reshape(len(sets), PARITIES), axis=1).view(np.int64)
+    return _lists(list(words))
+
+
 @lean
 def _differences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
@@ -171,8 +190,9 @@ def _differences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     pa.array([len(x) for x in left], pa.int64()),
                     pa.array([len(x) for x in right], pa.int64()),
                     _lists(apart),
+                    _parities(apart),
                 ],
-                ["a", "b", "n_a", "n_b", "apart"],
+                ["a", "b", "n_a", "n_b", "apart", "parities"],
             )
 
 
@@ -271,15 +291,26 @@ def _pivot_pairs(postings: DataFrame) -> DataFrame:
     )
 
 
-def _pairs_beside_pivots(compared: DataFrame) -> DataFrame:
-    """Pairs (a, b) of one pivot, a not linked to it, whose differences can make a link."""
+def _pairs_beside_pivots(compared: DataFrame, roots: DataFrame) -> DataFrame:
+    """Pairs (a, b) of one pivot in unlike components, a not in the pivot's, whose differences
+    can make a link.  roots(node, root) has the components so far of all classes with links."""
+    of_member = roots.select(F.col("node").alias("a"), F.col("root").alias("root_a"))
+    of_pivot = roots.select(F.col("node").alias("b"), F.col("root").alias("root_b"))
+    compared = (
+        compared.join(of_member, "a", "left")
+        .join(of_pivot.join(compared.select("b").distinct(), "b", "left_semi"), "b", "left")
+        .withColumn("root", F.coalesce("root_a", "a"))
+        .withColumn("inside", F.col("root") == F.coalesce("root_b", "b"))
+    )
     pivot = compared.select(F.col("b").alias("pivot"), F.col("n_b").alias("n")).distinct()
     members = compared.select(
         F.col("b").alias("pivot"),
         F.col("a").alias("id"),
         F.col("n_a").alias("n"),
         F.size("apart").alias("x"),
-        "linked",
+        "root",
+        "inside",
+        "parities",
         F.explode("apart").alias("e"),
     )
     members = members.join(pivot.select("pivot"), "pivot", "left_semi")
@@ -293,20 +324,25 @@ def _pairs_beside_pivots(compared: DataFrame) -> DataFrame:
         .withColumn("place", F.row_number().over(order) + F.col("x") - F.col("rest"))
         # The least a partner asks for, whatever its size.
         .where(F.col("place") <= F.col("x") - F.greatest(F.lit(1), F.ceil((F.col("x") - F.col("n") / 3) / 2)) + 1)
-        .select("pivot", "e", "id", "n", "x", "linked", "place")
+        .select("pivot", "e", "id", "n", "x", "root", "inside", "parities", "place")
+    )
+    a, b = placed.where("not inside").alias("a"), placed.alias("b")
+    # The sets of a link differ in so many values at most.
+    differing = sum(
+        F.bit_count(F.col("a.parities")[i].bitwiseXOR(F.col("b.parities")[i])) for i in range(PARITIES // 64)
     )
-    a, b = placed.where("not linked").alias("a"), placed.alias("b")
     need = F.greatest(
         F.lit(1),
         F.ceil((F.col("a.x") + F.col("b.x") - F.least("a.n", "b.n") / 3) / 2),
     )
     return (
         a.join(b, (F.col("a.pivot") == F.col("b.pivot")) & (F.col("a.e") == F.col("b.e")))
-        .where("a.id <> b.id and (b.linked or a.id < b.id)")
+        .where("a.root <> b.root and (b.inside or a.id < b.id)")
         .where(F.col("a.n") * DENOMINATOR >= F.col("b.n") * NUMERATOR)
         .where(F.col("b.n") * DENOMINATOR >= F.col("a.n") * NUMERATOR)
         .where(F.col("a.place") <= F.col("a.x") - need + 1)
         .where(F.col("b.place") <= F.col("b.x") - need + 1)
+        .where(differing * (DENOMINATOR + NUMERATOR) <= (F.col("a.n") + F.col("b.n")) * (DENOMINATOR - NUMERATOR))
         .select(F.col("a.id").alias("a"), F.col("b.id").alias("b"))
         .distinct()
     )
@@ -338,7 +374,8 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
 
 def _links(docs: DataFrame, rows: DataFrame) -> DataFrame:
-    """links(a, b): every document with its class, and the verified links of classes."""
+    """links(a, b): every document with its class, every class with the component of the links
+    of light lists and of pivots, and the verified links beside pivots."""
     with_words = rows.where("n > 0 and doc_id is not null")
     key = ["n", "sum", "xor"]
     smallest = saved(with_words.groupBy(*key).agg(F.min("doc_id").alias("id")))
@@ -364,25 +401,21 @@ def _links(docs: DataFrame, rows: DataFrame) -> DataFrame:
     pivots = saved(_pivot_pairs(postings))
     sets = saved(_sets_of(docs, near.union(pivots)))
     schema = "a long, b long, n_a long, n_b long, shared long"
-    decided = [_with_sets(near, sets).mapInArrow(_compare, schema)]
+    good = _linked(F.col("shared"), F.col("n_a"), F.col("n_b"))
+    light = _with_sets(near, sets).mapInArrow(_compare, schema).where(good).select("a", "b")
     apart = _with_sets(pivots, sets, SALTS).mapInArrow(
-        _differences, "a long, b long, n_a long, n_b long, apart array<long>"
+        _differences, "a long, b long, n_a long, n_b long, apart array<long>, parities array<long>"
     )
     shared = (F.col("n_a") + F.col("n_b") - F.size("apart")) / 2
     compared = saved(apart.withColumn("linked", _linked(shared, F.col("n_a"), F.col("n_b"))))
-    beside = saved(_pairs_beside_pivots(compared))
-    decided.append(_with_sets(beside, sets).mapInArrow(_compare, schema))
-    links = [
-        copies.select(F.col("doc_id").alias("a"), F.col("id").alias("b")),
-        compared.where("linked").select("a", "b"),
-    ]
-    for pairs in decided:
-        good = pairs.where(_linked(F.col("shared"), F.col("n_a"), F.col("n_b")))
-        links.append(good.select("a", "b"))
-    out = links[0]
-    for more in links[1:]:
-        out = out.union(more)
-    return out
+    roots = saved(components(light.union(compared.where("linked").select("a", "b"))))
+    beside = saved(_pairs_beside_pivots(compared, roots))
+    found = _with_sets(beside, sets).mapInArrow(_compare, schema).where(good).select("a", "b")
+    return (
+        copies.select(F.col("doc_id").alias("a"), F.col("id").alias("b"))
+        .union(roots.select(F.col("node").alias("a"), F.col("root").alias("b")))
+        .union(found)
+    )
 
 
 def _of_class():

@@ -3,6 +3,7 @@ from __future__ import annotations
 import random
 import re
 
+import numpy as np
 import pytest
 
 from stepwise.llm import near_dup
@@ -94,3 +95,39 @@ def test_long_unlike_words_are_not_linked(documents):
         one += one.translate(str.maketrans("ab", "ba"))
     out = near_dup.near_duplicates(documents([(1, one, "en", "a"), (2, one.translate(str.maketrans("ab", "ba")), "en", "a")]))
     assert sorted(r["component_id"] for r in out.collect()) == [1, 2]
+
+
+def test_pairs_beside_pivots_of_a_group_of_near_copies(documents, monkeypatch):
+    """Classes that links join already are not paired, and distant ones hardly ever."""
+    rng = random.Random(8)
+    base = [f"w{i}" for i in range(150)]
+    rows = []
+    for i in range(400):
+        words = list(base)
+        for place in rng.sample(range(150), 1 + i % 5):
+            words[place] = f"x{rng.randrange(10**9)}"
+        rows.append((i, " ".join(words)))
+    paired, pairs = [], near_dup._pairs_beside_pivots
+
+    def counted(*args):
+        out = pairs(*args)
+        paired.append(out.count())
+        return out
+
+    monkeypatch.setattr(near_dup, "_pairs_beside_pivots", counted)
+    result = found(near_dup.near_duplicates(documents([(i, t, None, None) for i, t in rows])))
+    assert {i: r["component_id"] for i, r in result.items()} == brute_force(rows)
+    assert sum(paired) < len(rows)
+
+
+def test_parities_differ_at_most_as_often_as_sets():
+    rng = np.random.default_rng(5)
+    sets = [np.zeros(0, np.int64), *(np.unique(rng.integers(-(2**62), 2**62, n)) for n in (1, 7, 300, 4000))]
+    sets += [np.unique(np.append(sets[3][:-2], 5)), sets[3]]
+    bits = [np.array(x, np.int64) for x in near_dup._parities(sets).to_pylist()]
+    assert {len(x) for x in bits} == {near_dup.PARITIES // 64}
+    for a, p in zip(sets, bits, strict=True):
+        for b, q in zip(sets, bits, strict=True):
+            ones = int(np.bitwise_count(p ^ q).sum())
+            assert ones <= len(np.setxor1d(a, b))
+    assert (bits[3] == bits[-1]).all() and near_dup._parities([]).to_pylist() == []
