@@ -16,8 +16,8 @@ retained values generate the overlaps of documents:
   If A is not linked to the pivot P, then A and B can only be linked when the differences of A
   and of B from P share at least ``(x + y - min(|A|, |B|) / 3) / 2`` shingles, x and y being
   the sizes of the differences.  A prefix filter on the differences, rarest first, finds
-  exactly those pairs.  Of them only those count whose classes the links found so far do not
-  join already, so members of the pivot's component never meet each other; and the parities of
+  exactly those pairs.  Of them only those count whose classes the links with pivots do not
+  join already, as far as two steps show, so members of one root never meet; and the parities of
   the differences by hash, ``PARITIES`` bits that two classes differ in at most as often as
   their sets do, drop pairs that are too far apart.  Neither filter loses a component.
 
@@ -291,9 +291,22 @@ def _pivot_pairs(postings: DataFrame) -> DataFrame:
     )
 
 
-def _pairs_beside_pivots(compared: DataFrame, roots: DataFrame) -> DataFrame:
-    """Pairs (a, b) of one pivot in unlike components, a not in the pivot's, whose differences
-    can make a link.  roots(node, root) has the components so far of all classes with links."""
+def _reached(compared: DataFrame) -> DataFrame:
+    """(node, root): the smallest pivot that two steps over links with pivots reach.
+
+    Classes of one root are in one component; a component may have several roots.
+    """
+    pivots = compared.select(F.col("b").alias("a"), "b").distinct()
+    reached = compared.where("linked").select("a", "b").union(pivots)
+    once = saved(reached.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("root")))
+    again = once.select(F.col("node").alias("root"), F.col("root").alias("next"))
+    return once.join(again, "root").select("node", F.col("next").alias("root"))
+
+
+def _pairs_beside_pivots(compared: DataFrame) -> DataFrame:
+    """Pairs (a, b) of one pivot, a not known to be in its component nor in that of b, whose
+    differences can make a link."""
+    roots = saved(_reached(compared))
     of_member = roots.select(F.col("node").alias("a"), F.col("root").alias("root_a"))
     of_pivot = roots.select(F.col("node").alias("b"), F.col("root").alias("root_b"))
     compared = (
@@ -374,8 +387,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
 
 def _links(docs: DataFrame, rows: DataFrame) -> DataFrame:
-    """links(a, b): every document with its class, every class with the component of the links
-    of light lists and of pivots, and the verified links beside pivots."""
+    """links(a, b): every document with its class, and the verified links of classes."""
     with_words = rows.where("n > 0 and doc_id is not null")
     key = ["n", "sum", "xor"]
     smallest = saved(with_words.groupBy(*key).agg(F.min("doc_id").alias("id")))
@@ -408,12 +420,12 @@ def _links(docs: DataFrame, rows: DataFrame) -> DataFrame:
     )
     shared = (F.col("n_a") + F.col("n_b") - F.size("apart")) / 2
     compared = saved(apart.withColumn("linked", _linked(shared, F.col("n_a"), F.col("n_b"))))
-    roots = saved(components(light.union(compared.where("linked").select("a", "b"))))
-    beside = saved(_pairs_beside_pivots(compared, roots))
+    beside = saved(_pairs_beside_pivots(compared))
     found = _with_sets(beside, sets).mapInArrow(_compare, schema).where(good).select("a", "b")
     return (
         copies.select(F.col("doc_id").alias("a"), F.col("id").alias("b"))
-        .union(roots.select(F.col("node").alias("a"), F.col("root").alias("b")))
+        .union(compared.where("linked").select("a", "b"))
+        .union(light)
         .union(found)
     )
 
