@@ -51,6 +51,8 @@ LIGHT_SHARE = 0.6
 OVERLAP_SHARE = 0.1
 # Bits of the parities of a difference, a multiple of 64.
 PARITIES = 512
+# Values of a difference before one in its prefix, by which two classes know that they met.
+BEFORE = 8
 # Six standard deviations of the estimate from K values.
 ESTIMATE = NUMERATOR / DENOMINATOR - 6 * (0.75 * 0.25 / K) ** 0.5
 _STEPS = seeds(WORDS, 1000)
@@ -306,6 +308,12 @@ def _reached(compared: DataFrame) -> DataFrame:
 def _pairs_beside_pivots(compared: DataFrame) -> DataFrame:
     """Pairs (a, b) of one pivot, a not known to be in its component nor in that of b, whose
     differences can make a link."""
+    return _meetings(compared).distinct()
+
+
+def _meetings(compared: DataFrame) -> DataFrame:
+    """Those pairs, each where it meets in the prefixes: at its first common value, and later only
+    where none of the ``BEFORE`` values before is common."""
     roots = saved(_reached(compared))
     of_member = roots.select(F.col("node").alias("a"), F.col("root").alias("root_a"))
     of_pivot = roots.select(F.col("node").alias("b"), F.col("root").alias("root_b"))
@@ -335,9 +343,11 @@ def _pairs_beside_pivots(compared: DataFrame) -> DataFrame:
         .withColumn("rest", F.count("*").over(Window.partitionBy("pivot", "id")))
         # Values that nobody shares come first, so places count from behind them.
         .withColumn("place", F.row_number().over(order) + F.col("x") - F.col("rest"))
+        # The order is that of the list, so what is before in two differences is so in both.
+        .withColumn("before", F.collect_list("e").over(order.rowsBetween(-BEFORE, -1)))
         # The least a partner asks for, whatever its size.
         .where(F.col("place") <= F.col("x") - F.greatest(F.lit(1), F.ceil((F.col("x") - F.col("n") / 3) / 2)) + 1)
-        .select("pivot", "e", "id", "n", "x", "root", "inside", "parities", "place")
+        .select("pivot", "e", "id", "n", "x", "root", "inside", "parities", "place", "before")
     )
     a, b = placed.where("not inside").alias("a"), placed.alias("b")
     # The sets of a link differ in so many values at most.
@@ -356,8 +366,8 @@ def _pairs_beside_pivots(compared: DataFrame) -> DataFrame:
         .where(F.col("a.place") <= F.col("a.x") - need + 1)
         .where(F.col("b.place") <= F.col("b.x") - need + 1)
         .where(differing * (DENOMINATOR + NUMERATOR) <= (F.col("a.n") + F.col("b.n")) * (DENOMINATOR - NUMERATOR))
+        .where(~F.arrays_overlap("a.before", "b.before"))
         .select(F.col("a.id").alias("a"), F.col("b.id").alias("b"))
-        .distinct()
     )
 
 

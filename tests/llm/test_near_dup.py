@@ -131,3 +131,29 @@ def test_parities_differ_at_most_as_often_as_sets():
             ones = int(np.bitwise_count(p ^ q).sum())
             assert ones <= len(np.setxor1d(a, b))
     assert (bits[3] == bits[-1]).all() and near_dup._parities([]).to_pylist() == []
+
+
+def test_pairs_beside_pivots_meet_once(spark, monkeypatch):
+    """Near copies of a long text far from the pivot meet once, not at each value they share."""
+    rng = np.random.default_rng(9)
+    pivot, common, loose = (rng.integers(1, 2**62, n) for n in (400, 300, 400))
+    sets = [np.union1d(np.append(pivot[:100], common), rng.integers(1, 2**62, 10)) for _ in range(30)]
+    sets += [np.union1d(np.append(pivot[:300], rng.choice(loose, 90)), rng.integers(1, 2**62, 5)) for _ in range(30)]
+    apart = [np.setxor1d(pivot, s) for s in sets]
+    odd = near_dup._parities(apart).to_pylist()
+    rows = [
+        (i + 1, 0, len(s), len(pivot), x.tolist(), p, False)
+        for i, (s, x, p) in enumerate(zip(sets, apart, odd, strict=True))
+    ]
+    schema = "a long, b long, n_a long, n_b long, apart array<long>, parities array<long>, linked boolean"
+    compared = spark.createDataFrame(rows, schema)
+    met = [tuple(r) for r in near_dup._meetings(compared).collect()]
+    pairs = {tuple(r) for r in near_dup._pairs_beside_pivots(compared).collect()}
+    assert len([p for p in met if max(p) <= 30]) == 30 * 29 // 2
+    assert len(met) < 2 * len(pairs)
+    for i, s in enumerate(sets):
+        for j, t in enumerate(sets[:i]):
+            shared = len(np.intersect1d(s, t))
+            assert 100 * shared < 75 * (len(s) + len(t) - shared) or (j + 1, i + 1) in pairs
+    monkeypatch.setattr(near_dup, "BEFORE", 1)
+    assert {tuple(r) for r in near_dup._meetings(compared).collect()} == pairs
